@@ -1,0 +1,49 @@
+"""Columns for functions that the dialect defines otherwise than Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def strip(c: Column, side: str = "both") -> Column:
+    """Trim any white space, not blanks alone."""
+    return F.regexp_replace(c, {"left": r"^\s+", "right": r"\s+$", "both": r"^\s+|\s+$"}[side], "")
+
+
+def json_path(c: Column, path: str) -> Column:
+    """``column:path``: the value at a path as text; null for bad JSON."""
+    return F.get_json_object(c, path if path.startswith("$") else f"$.{path}")
+
+
+def from_json_or_null(c: Column, schema: str) -> Column:
+    """``from_json`` that gives null, not a struct of nulls, for text that is no JSON."""
+    return F.when(F.get_json_object(c, "$").isNotNull(), F.from_json(c, schema))
+
+
+def count_distinct_over(c: Column, window) -> Column:
+    return F.size(F.collect_set(c).over(window)).cast("long")
+
+
+def sum_distinct_over(c: Column, window) -> Column:
+    kept = F.collect_set(c.cast("double")).over(window)
+    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, b: a + b))
+
+
+def add_units(day: Column, n: int, unit: str) -> Column:
+    """``dateadd`` on a date: stays a date for units of a day and more."""
+    unit = unit.upper()
+    months = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
+    if unit in months:
+        return F.add_months(day, n * months[unit])
+    return F.date_add(day, n * {"DAY": 1, "WEEK": 7}[unit])
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson's coefficient; null where either side doesn't vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(a, b))
+
+
+def format_half_up(c: Column, places: int) -> Column:
+    return F.format_number(F.round(c, places), places)
