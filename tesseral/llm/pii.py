@@ -28,6 +28,7 @@ CLOSINGS = r"Thanks|Thank you|Many thanks|Cheers|Regards|Kind regards|Best regar
 NO_NAMES = frozenset(
     "sir madam all there team everyone both folks support office box customer guest agent the a an my our your this that these it he she they we you i not no order ticket tickets event hall desk nobody somebody someone anyone please bitte merci gracias danke hello hi dear and or und et y les la le el die der das un une ein eine und nous wir sie ich je on was is are were if in at by as of for with from doors card total nobody meet follow see send text call caller photo mi mon meine mein after before here had told found then who what when where".split()
 )
+CALENDAR = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 STREET = r"St|Street|Ave|Avenue|Blvd|Boulevard|Dr|Drive|Rd|Road|Ln|Lane|Way|Close|Mews|Terrace|Crescent|Parkway|Pkwy|Highway|Hwy"
 STREET_CAPITAL = r"Court|Ct|Place|Pl|Square|Sq|Row|Walk|Hill|Gardens|Grove|Park|Alley|Yard|Quay"
 MONTHS = r"Jan|Feb|M[aä]r|Apr|Ma[iy]|Jun|Jul|Aug|Sep|O[ck]t|Nov|De[cz]"
@@ -63,7 +64,7 @@ def _rules() -> dict:
         r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}",  # social security
         r"(?=\p{L}+9* ?\d{6})[\p{L}9]{5} ?\d{6} ?[A-Z][A-Z0-9]\d[A-Z]{2}",  # driving licence
     ]
-    r["id"] = [regex.compile(f"{edge}(?:{f}){stop}", regex.I) for f in forms]
+    r["id"] = regex.compile(f"{edge}(?:{'|'.join(forms)}){stop}", regex.I)
     r["id_cued"] = regex.compile(
         rf"(?:\b(?:{ID_LABEL})\b(?:\.?:?| ?\|)|(?:{ID_CONTEXT}))[ (|:]*(?:(?:{ID_LABEL})\.?:? *)?(?P<id>\d{{3}}[- ]?\d{{2}}[- ]?\d{{4}}|\d{{4}}[- ]?\d{{4}}[- ]?\d{{4}}|\d{{9}}){stop}", regex.I
     )
@@ -86,6 +87,10 @@ def _rules() -> dict:
         regex.compile(r"(?<![\p{L}\p{N}_])\d+(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|impasse|place|allée|chemin|quai|route|cours|passage|square) (?:(?:de la|de l'|du|des|de|d') ?)?[\p{L}'-]+(?:, (?:b[âa]t(?:iment|\.)? ?\w+|appt?\.? ?\w+|esc(?:alier|\.)? ?\w+|\d+e étage))*", regex.I),
         regex.compile(r"(?<![\p{L}\p{N}_])(?:C/|Calle|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Carrera|Travesía) ?(?:(?:del|de la|de los|de las|de) )?\p{L}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?,? (?:n\.?º ?)?\d+(?:, (?:\d+ ?[ºª°.] ?\p{L}?(?:\b|$)|bajo|ático|entresuelo|principal|izq\.?|dcha\.?))*", regex.I),
     ]
+    # cheap tests, on the text in lower case, whether a rule can match at all
+    r["email_hint"] = [re.compile(p) for p in ("@", r"[\[({<]\s?(?:at|@|arroba)\s?[\])}>]", " dot ")]
+    r["digits"] = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|\d{4}[- ]\d{4}")
+    r["address_hint"] = [re.compile(p) for p in (rf"\d.*\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace(r"\d", "[0-9]"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage", r"(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) [^\n]+ \d|(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d", r"\d.*(?:rue|avenue|av\.|boulevard|bd|impasse|place|allée|chemin|quai|route|cours|passage|square)", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía")]
     # a name: given or family name or both, with initials and particles, in either order
     for case, first in (("cap", r"\p{Lu}"), ("low", r"\p{L}")):
         w = rf"{first}[\p{{L}}\p{{M}}]+(?:'(?!s\b){first}[\p{{L}}\p{{M}}]+)?"
@@ -99,7 +104,7 @@ def _rules() -> dict:
     left = [
         (rf"\b(?:{GREETINGS}),? ", r"(?= ?(?:[,:!\n]|$))", True),
         (rf"\b(?:{CLOSINGS})(?:[,!.]|\s*\n| -)\s*", r"(?=[ .]*(?:\n|$))", True),
-        (r"(?:^|\n)-- ?\n", r"(?= *(?:\n|$))", True),
+        (r"-- ?\n", r"(?= *(?:\n|$))", True),
         (r"\b(?:full_name|name|holder|customer|contact|passenger|cc|from|attn)\b\"?(?::| ?=| ?\|) ?\"?", r"(?= ?(?:[\n;|\"<(]|$))", True),
         (r"\b(?:asked|written|signed|reported|sent|paid|booked|requested) by ", r"(?=[,.;\n]| [\p{Ll}(]|$)", True),
         (r"\b(?:name on the (?:booking|order|ticket|account) is|läuft auf(?: den namen)?|au nom de|a nombre de) ", end, True),
@@ -110,7 +115,19 @@ def _rules() -> dict:
         (r"\b(?:queue|both [^\n.]{2,50}?),? and ", r"(?= (?:had|were|was)\b)", True),
         (rf"(?<![\w'])(?={TITLES_F}|{TITLES_M}|{TITLES_N})", r"(?![\p{L}\p{M}])", False),
     ]
-    r["left"] = re.compile("|".join(f"(?P<c{i}>{a})" for i, (a, _, _) in enumerate(left)), re.I)
+    r["left"] = [re.compile(a, re.I) for a, _, _ in left]
+    first = lambda words: {w.split()[0].split("_")[0].lower() for p in words for w in re.sub(r"\[.\]\??|\(\?:[^)]*\)", "", p).split("|") if w.strip()}
+    lists = [
+        {"good", "guten", "liebe", "lieber", "sehr", "estimado", "estimada", "querido", "querida", *first([GREETINGS])}, first([CLOSINGS]), set(),
+        set("full name holder customer contact passenger cc from attn".split()), set("asked written signed reported sent paid booked requested".split()),
+        set("name läuft au a".split()), set("instead held says said ask speak poster key deliver care c regards married belongs on".split()), {"the"},
+        set("our the my your her his".split()), set("both i we".split()), set("queue both".split()),
+        {w.lower() for t in (TITLES_F, TITLES_M, TITLES_N) for w in t.split("|")} | {"herrn", "herr"},
+    ]
+    r["triggers"] = {}
+    for k, words in enumerate(lists):
+        for w in words:
+            r["triggers"].setdefault(w, []).append(k)
     need = ["?"] * (len(left) - 1) + [""]
     r["after"] = [(regex.compile(rf"(?i:{title}){n}(?P<n>{cap}){b}"), regex.compile(rf"{title}{n}(?P<n>{low}){end if i == 4 else b}", regex.I) if lower else None) for i, ((_, b, lower), n) in enumerate(zip(left, need))]
     # words on the right of a name that begins a sentence
@@ -152,12 +169,22 @@ class _Claims:
         return True
 
 
-def _is_phone(s: str, labelled: bool) -> bool:
-    import regex
+@lru_cache(maxsize=1)
+def _phone_forms() -> dict:
+    import re
+
+    return {
+        "no": re.compile(r"\(?\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|(?:19|20)\d\d-\d\d-\d\d|\d{4}-\d{4}-\d{2,4}$"),
+        "america": re.compile(r"(?:1[ .-]?)?\(?[2-9]\d\d\)?[ .-]?\d{3}[ .-]?\d{4}"),
+        "short": re.compile(r"\d(?: \d){6,11}|\d{3}[ -]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{3}|\d{3}(?:[ .-]\d\d){3}"),
+        "any": re.compile(r"[\d ().-]+"),
+    }
 
+
+def _is_phone(s: str, labelled: bool) -> bool:
     digits = "".join(c for c in s if c.isdigit())
-    n = len(digits)
-    if regex.match(r"\(?\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|(?:19|20)\d\d-\d\d-\d\d", s) or regex.fullmatch(r"\d{4}-\d{4}-\d{2,4}", s):
+    n, forms = len(digits), _phone_forms()
+    if n < 7 or n > 16 or forms["no"].match(s):
         return False
     if s.lstrip("(").startswith("+"):
         return 8 <= n <= 15
@@ -166,13 +193,11 @@ def _is_phone(s: str, labelled: bool) -> bool:
     plain = s.isdigit()
     if digits.startswith("0") and digits[1:2] != "0":
         return 10 <= n <= (11 if plain else 12)
-    if regex.fullmatch(r"(?:1[ .-]?)?\(?[2-9]\d\d\)?[ .-]?\d{3}[ .-]?\d{4}", s):
+    if forms["america"].fullmatch(s):
         return not plain or n == 11 or labelled
-    if regex.fullmatch(r"\d(?: \d){6,11}", s) or regex.fullmatch(r"\d{3}[ -]\d{4}", s):
-        return True
-    if regex.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{3}|\d{3}(?:[ .-]\d\d){3}", s):
+    if forms["short"].fullmatch(s):
         return True
-    return labelled and 7 <= n <= 11 and bool(regex.fullmatch(r"[\d ().-]+", s))
+    return labelled and n <= 11 and bool(forms["any"].fullmatch(s))
 
 
 def _phones(text: str, rules: dict, claims: _Claims) -> None:
@@ -183,7 +208,7 @@ def _phones(text: str, rules: dict, claims: _Claims) -> None:
             a, s = a + 1, s[1:]
         elif s.endswith(")"):
             b, s = b - 1, s[:-1]
-        if _is_phone(s, bool(rules["phone_label"].search(text[max(0, a - 30) : a]))):
+        if b - a >= 7 and _is_phone(s, bool(rules["phone_label"].search(text[max(0, a - 30) : a]))):
             claims.take("phone", a, b)
 
 
@@ -221,8 +246,17 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
         words = [w.lower() for w in rules["word"].findall(s)]
         return bool(words) and words[0] not in NO_NAMES and any(w in known for w in words)
 
-    for m in rules["left"].finditer(text):
-        cap, low = rules["after"][int(m.lastgroup[1:])]
+    words = [(m.group(), m.start()) for m in rules["word"].finditer(text)]
+    starts = [(at, k) for w, at in words for k in rules["triggers"].get(w.lower(), ())]
+    at = text.find("--")
+    while at >= 0:
+        starts.append((at, 2))
+        at = text.find("--", at + 2)
+    for at, k in sorted(starts):
+        m = rules["left"][k].match(text, at)
+        if not m:
+            continue
+        cap, low = rules["after"][k]
         n = cap.match(text, m.end())
         if not n and low and (n := low.match(text, m.end())) and not is_name(n.group("n")):
             n = None
@@ -239,7 +273,7 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
             take(at - len(part) + n.start("n"), at)
 
     # words of the names found so far hold in the rest of this text
-    lows = {w for w in rules["word"].findall(text) if w.islower()}
+    lows = {w for w, _ in words if w.islower()}
     here = dict(known)
     for a, b in list(found):
         ws = [w for w in rules["word"].findall(text[a:b]) if len(w) > 2 and w.lower() not in NO_NAMES and not rules["particle"].fullmatch(w)]
@@ -250,22 +284,25 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
     for m in rules["cap_run"].finditer(text):
         a, b = m.span()
         b = a + (bytes(claims.taken[a:b]) + b"\1").index(1)
-        words = [(a + w.start(), a + w.end()) for w in rules["word"].finditer(text[a:b])]
-        hits = [i for i, (x, y) in enumerate(words) if text[x:y].lower() in here]
+        parts = [(a + w.start(), a + w.end()) for w in rules["word"].finditer(text[a:b])]
+        hits = [i for i, (x, y) in enumerate(parts) if text[x:y].lower() in here]
         if not hits:
             continue
         i, j = hits[0], hits[-1]
-        facts = [here[text[words[k][0] : words[k][1]].lower()] for k in hits]
+        if len(hits) == 1 and text[slice(*parts[i])].lower() in CALENDAR:
+            continue
+        facts = [here[text[parts[k][0] : parts[k][1]].lower()] for k in hits]
         pair = len(hits) > 1 and any(f[0] for f in facts) and any(f[1] for f in facts)
         if not pair and not any(f[2] for f in facts):
             continue
         # an unknown capitalised word beside a known given name is likely the family name
-        if not pair and j + 1 < len(words) and facts[-1][0] and text[words[j][1] : words[j + 1][0]] in (" ", "-") and text[words[j + 1][0] : words[j + 1][1]].lower() not in lows | NO_NAMES:
+        if not pair and j + 1 < len(parts) and facts[-1][0] and text[parts[j][1] : parts[j + 1][0]] in (" ", "-") and text[parts[j + 1][0] : parts[j + 1][1]].lower() not in lows | NO_NAMES:
             j += 1
-        while i > 0 and words[i - 1][1] - words[i - 1][0] == 1 and text[words[i - 1][1] : words[i][0]] in (". ", "."):
+        while i > 0 and parts[i - 1][1] - parts[i - 1][0] == 1 and text[parts[i - 1][1] : parts[i][0]] in (". ", "."):
             i -= 1
-        take(words[i][0], words[j][1])
-    for m in rules["low_pair"].finditer(text, overlapped=True):
+        take(parts[i][0], parts[j][1])
+    low_known = [known[w] for w in lows if w in known]
+    for m in rules["low_pair"].finditer(text, overlapped=True) if any(f[0] for f in low_known) and any(f[1] for f in low_known) else ():
         x, y = (known.get(m.group(k).lower()) for k in (1, 2))
         if x and y and x[0] and y[1] and (x[2] or y[2]) and m.group(1).islower():
             take(*m.span())
@@ -311,19 +348,22 @@ def detect(text: str | None, known: dict[str, tuple[bool, bool, bool]]) -> list[
     rules = _rules()
     plain = text.translate(_VARIANTS)
     claims = _Claims(len(plain))
-    for rx in rules["email"] if "@" in plain or " at " in plain.lower() or "at" in plain.lower() else ():
-        for m in rx.finditer(plain):
-            claims.take("email", *m.span())
+    low = plain.lower()
+    for hint, rx in zip(rules["email_hint"], rules["email"]):
+        if hint.search(low):
+            for m in rx.finditer(plain):
+                claims.take("email", *m.span())
     for m in rules["url"].finditer(plain):
         claims.take("", *m.span())
-    for rx in rules["id"]:
-        for m in rx.finditer(plain):
-            claims.take("id_number", *m.span())
-    for m in rules["id_cued"].finditer(plain):
-        claims.take("id_number", *m.span("id"))
-    for rx in rules["address"]:
-        for m in rx.finditer(plain):
-            claims.take("street_address", *m.span())
+    for m in rules["id"].finditer(plain):
+        claims.take("id_number", *m.span())
+    if rules["digits"].search(plain):
+        for m in rules["id_cued"].finditer(plain):
+            claims.take("id_number", *m.span("id"))
+    for hint, rx in zip(rules["address_hint"], rules["address"]):
+        if hint.search(low):
+            for m in rx.finditer(plain):
+                claims.take("street_address", *m.span())
     _phones(plain, rules, claims)
     _names(plain, rules, claims, known)
     spans = sorted(claims.spans, key=lambda s: s.start)
