@@ -70,6 +70,24 @@ def trailing_days(daily: DataFrame, n: int, last_day: Column, name: str) -> Data
     return rows.select("entity", (F.col("_d0") - first + F.col("_i")).cast("int").alias("d"), name, f"{name}_before")
 
 
+def peak_days(blocks: DataFrame, n: int, last_day: Column) -> DataFrame:
+    """(entity, d): the earliest day on which the trailing total is highest, where that is above 0; from ``trailing_blocks``.
+
+    The best day of each block is found inside its row, so only one candidate per block is compared across rows.
+    """
+    days = F.transform("t", lambda t, i: F.struct(t.alias("t"), (-(F.col("block") * n + i)).alias("nd")))
+    best = F.array_max(F.filter(days, lambda x: (x["t"] > 0) & (-x["nd"] <= last_day)))
+    return blocks.select("entity", best.alias("b")).where("b is not null").groupBy("entity").agg(F.max("b").alias("m")).select("entity", (-F.col("m.nd")).cast("int").alias("d"))
+
+
+def falls_to_zero(blocks: DataFrame, n: int, last_day: Column) -> DataFrame:
+    """(entity, d): the days through ``last_day`` with a total of 0 after one above 0 the day before; from ``trailing_blocks``."""
+    before = F.concat(F.array("t_before"), F.slice("t", 1, n - 1))
+    days = F.transform(F.arrays_zip(F.col("t").alias("t"), before.alias("b")), lambda x, i: F.struct(x["t"].alias("t"), x["b"].alias("b"), (F.col("block") * n + i).cast("int").alias("d")))
+    hits = F.filter(days, lambda x: (x["t"] == 0) & (x["b"] > 0) & (x["d"] <= last_day))
+    return blocks.select("entity", F.explode(hits).alias("h")).select("entity", "h.d")
+
+
 def daily_spending(orders: DataFrame, items: DataFrame) -> DataFrame:
     """(entity, d, v): each customer's spending by day in hundredths, from orders (once each) and lines (once each).
 
