@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesseral.session import cut_lineage
+
 #: Documents of a shard, about. Shards are packed apart; each leaves a few containers that aren't full.
 SHARD_DOCS = 50_000
 
@@ -63,6 +65,8 @@ def pack(sizes: DataFrame, capacities: DataFrame, shard_docs: int = SHARD_DOCS)
     has one row without container. A container's number is unique within its pack_id and shard; ``at`` is the offset in
     it. Shards are made by a hash of doc_id, so equal texts or customers don't gather. Extra columns are dropped.
     """
+    # used three times: written once, two numbers a document
+    sizes = cut_lineage(sizes)
     n = max(1, -(-sizes.count() // shard_docs))
     packs = F.broadcast(capacities.where("pack_id is not null and capacity_tokens > 0").select(F.col("pack_id").cast("long").alias("pack_id"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct())
     items = sizes.where("doc_id is not null and n_tokens is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"))

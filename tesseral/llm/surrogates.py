@@ -19,6 +19,8 @@ from tesseral.session import cut_lineage
 KEY = os.environ.get("TESSERAL_PII_KEY", "tesseral-default-key")
 #: Rounds of new surrogates for those that collide; more than this means that the key space is used up.
 MAX_ROUNDS = 20
+#: From this round on numbers get more digits.
+LONGER_FROM = 10
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
 
 # Syllables that surrogate names are made of, by script; the last ones carry the gender.
@@ -74,7 +76,8 @@ def surrogate(kind: str, canon: str, gender: str, attempt: int = 0, key: str = K
             out.append(chr(97 + next(bits) % 26))
         else:
             out.append(c)
-    text = "".join(out)
+    # where all numbers of this length are taken, longer ones follow
+    text = "".join(out) + "".join(str(next(bits) % 10) for _ in range(attempt - LONGER_FROM + 1))
     if kind == "street_address":
         stay = {w for r in (pii.STREET, pii.STREET_CAPITAL) for w in r.lower().split("|")} | set("flat unit apt rue calle plaza avda avenue impasse bd bis de la del des du c am hinterhaus bajo cottage".split())
         text = " ".join(w if w in stay or any(ch.isdigit() for ch in w) or len(w) < 3 else _word(_script(w), None, bits) for w in text.split())
@@ -109,7 +112,7 @@ def render(kind: str, surface: str, canon: str, made: str) -> str:
             else:
                 x = chars.pop(0) if chars else "0"
                 out.append(x.upper() if c.isupper() else x)
-        return "".join(out)
+        return "".join(out + chars)
     words, names = regex.findall(r"\p{L}[\p{L}\p{M}]*|\p{N}+\p{L}?", surface), made.split()
     olds = canon.split()
     low = [w.lower() for w in words]

@@ -87,7 +87,7 @@ def encode_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fo
     common = known.where(F.length("word") <= COMMON_CHARS).join(total, F.col("n") * COMMON_ONE_IN >= F.col("_total")).select("word", "ids")
     near = occurrences.join(F.broadcast(common), "word").select("doc_id", "pos", "ids")
     rare = occurrences.join(F.broadcast(common.select("word")), "word", "left_anti")
-    far = salted_join(rare, known.select("word", "ids"), ["word"], spread=["doc_id", "pos"]).select("doc_id", "pos", "ids")
+    far = salted_join(rare, known.select("word", "ids"), ["word"], spread=["doc_id", "pos"], counts=known.select("word", F.col("n").alias("_n"))).select("doc_id", "pos", "ids")
     return near.unionByName(far)
 
 
