@@ -7,45 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _scan(values: Column) -> Column:
-    """Running sums of an array, with a 0 before the first: n + 1 numbers."""
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(values, zero, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+def _sums(entries: str, places: Column, test) -> Column:
+    """For each place the sum of a block's entries (off, v) that ``test`` takes; a block seldom has many entries."""
+    zero = F.lit(0).cast("long")
+    return F.transform(places, lambda i: F.aggregate(entries, zero, lambda a, x: a + F.when(test(x["off"], i), x["v"]).otherwise(zero)))
 
 
-def _prefixes(values: Column) -> Column:
-    """prefix[i]: sum of the values 0..i."""
-    return F.slice(_scan(values), 2, F.size(values))
-
-
-def _suffixes(values: Column) -> Column:
-    """suffix[i]: sum of the values i..n-1, and 0 at n."""
-    return F.reverse(_scan(F.reverse(values)))
-
-
-def trailing_blocks(daily: DataFrame, n: int, last_day: Column) -> DataFrame:
+def trailing_blocks(daily: DataFrame, n: int, last_day: Column, empty: bool = True) -> DataFrame:
     """(entity, first_day, block, t): t[i] is the trailing ``n``-day total of day ``block * n + i``; t_before that of the day before the block.
 
     ``daily`` holds (entity, d, v): at most one row per entity and day, d the day's number, v a long. A day's window is
     the tail of one block (a suffix sum) and the head of the next (a prefix sum), so nothing is ever subtracted and an
-    empty window is exactly 0. Only blocks with rows are shuffled; the empty ones up to ``last_day`` are made in place.
+    empty window is exactly 0. Only blocks with rows are shuffled; the empty ones up to ``last_day`` are made in place,
+    or with ``empty`` false only as far as a total above 0 reaches into them: in all others every total is 0.
     """
     size, off = F.lit(n), F.pmod(F.col("d"), F.lit(n)).cast("int")
     blocks = daily.groupBy("entity", F.floor(F.col("d") / n).cast("int").alias("block")).agg(
-        F.min("d").alias("_first"), F.map_from_entries(F.collect_list(F.struct(off, F.col("v")))).alias("_m")
+        F.min("d").alias("_first"), F.collect_list(F.struct(off.alias("off"), F.col("v"))).alias("_e")
     )
-    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0).cast("long")))
+    pre = _sums("_e", F.sequence(F.lit(0), size - 1), lambda off, i: off <= i)
+    suf = _sums("_e", F.sequence(F.lit(0), size), lambda off, i: off >= i)
     w = W.partitionBy("entity").orderBy("block")
-    rows = blocks.select("entity", "block", "_first", _prefixes(values).alias("pre"), _suffixes(values).alias("suf")).select(
+    rows = blocks.select("entity", "block", "_first", pre.alias("pre"), suf.alias("suf")).select(
         "*",
         F.min("_first").over(W.partitionBy("entity")).alias("first_day"),
         F.when(F.lag("block").over(w) == F.col("block") - 1, F.lag("suf").over(w)).alias("_prior"),
         F.coalesce(F.lead("block").over(w) - 1, F.floor(last_day / n).cast("int")).alias("_until"),
     )
     none = F.array_repeat(F.lit(0).cast("long"), n + 1)
-    rows = rows.select(
-        "entity", "first_day", "block", "pre", "suf", F.coalesce("_prior", none).alias("prior"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("_until") - F.col("block"), F.lit(0)))).alias("j")
-    )
+    more = F.greatest(F.col("_until") - F.col("block"), F.lit(0))
+    more = more if empty else F.least(more, F.lit(1))
+    rows = rows.select("entity", "first_day", "block", "pre", "suf", F.coalesce("_prior", none).alias("prior"), F.explode(F.sequence(F.lit(0), more)).alias("j"))
     before = F.when(F.col("j") == 0, F.col("prior")).when(F.col("j") == 1, F.col("suf")).otherwise(none)
     own = F.when(F.col("j") == 0, F.col("pre")).otherwise(none)
     return rows.select("entity", "first_day", (F.col("block") + F.col("j")).alias("block"), before.alias("b"), own.alias("o")).select(
