@@ -101,10 +101,29 @@ def rolling_totals(daily: DataFrame, last_day: Column, windows: tuple[int, ...]
     """(entity, d, total_N, average_N ...): a row for each day from an entity's first day to ``last_day``, days without rows included.
 
     The average is over all N days of the window. An empty table gives no rows; rows after ``last_day`` are left out.
+    Here the days themselves are the result, so the blocks are windows over them rather than arrays: the prefix and the
+    suffix sum of each block of N days, the latter taken from N - 1 days back. All is partitioned by entity, which holds
+    no more rows than the calendar has days; only the rows of ``daily`` are shuffled.
     """
-    daily = daily.where(F.col("d") <= last_day)
-    out = None
+    by_day = W.partitionBy("entity").orderBy("d")
+    upto = F.coalesce(F.lead("d").over(by_day) - 1, last_day)
+    days = daily.where(F.col("d") <= last_day).select("entity", F.col("d").alias("_d"), "v", upto.alias("_upto")).select("entity", "_d", "v", F.explode(F.sequence("_d", "_upto")).alias("d"))
+    zero = F.lit(0).cast("long")
+    rows = days.select("entity", "d", F.when(F.col("d") == F.col("_d"), F.col("v")).otherwise(zero).alias("v"))
+    for n in windows:
+        block = W.partitionBy("entity", f"_b{n}").orderBy("d")
+        rows = rows.withColumn(f"_b{n}", F.floor(F.col("d") / n)).select(
+            "*",
+            F.sum("v").over(block.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_p{n}"),
+            F.sum("v").over(block.rowsBetween(W.currentRow, W.unboundedFollowing)).alias(f"_s{n}"),
+        )
+    so_far = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # while the window reaches back beyond the first day, the block of the first day gives all it has
+    first = lambda n: F.when(F.col(f"_b{n}") > F.first(f"_b{n}").over(so_far), F.first(f"_s{n}").over(so_far))
+    whole = rows.select("*", *[F.coalesce(F.lag(f"_s{n}", n - 1).over(by_day), first(n)).alias(f"_o{n}") for n in windows])
+    totals = []
     for n in windows:
-        rows = trailing_days(daily, n, last_day, f"total_{n}").withColumn(f"average_{n}", F.col(f"total_{n}") / n)
-        out = rows if out is None else out.join(rows, ["entity", "d"])
-    return out
+        # on a block's last day the prefix is the whole window
+        total = F.col(f"_p{n}") + F.when(F.pmod(F.col("d"), F.lit(n)) == n - 1, zero).otherwise(F.coalesce(f"_o{n}", zero))
+        totals += [total.alias(f"total_{n}"), (total / n).alias(f"average_{n}")]
+    return whole.select("entity", "d", *totals)

@@ -189,6 +189,16 @@ def test_trailing_totals(spark, n):
     assert got == want
 
 
+def test_all_windows_at_once(spark):
+    rng = random.Random(5)
+    data = {(e, rng.randrange(-50, 500)): rng.choice([0, 3, 11]) for e in (1, 2, 3, 4) for _ in range(9)}
+    df = spark.createDataFrame([(e, d, v) for (e, d), v in data.items()], "entity int, d int, v long")
+    got = {(r["entity"], r["d"]): (r["total_2"], r["total_3"], r["total_5"]) for r in rolling.rolling_totals(df, F.lit(460), (2, 3, 5)).collect()}
+    total = lambda e, d, n: sum(data.get((e, x), 0) for x in range(d - n + 1, d + 1))
+    want = {(e, d): tuple(total(e, d, n) for n in (2, 3, 5)) for e in (1, 2, 3, 4) for d in range(min(x for y, x in data if y == e), 461)}
+    assert got == want
+
+
 def test_spending_counts_each_order_and_line_once(spark):
     t = datetime(2026, 1, 1, 23, 59)
     orders = spark.createDataFrame([(1, 5, t, "PAID"), (1, 5, t, "x"), (2, None, t, ""), (3, 5, None, ""), (None, 5, t, ""), (4, 6, t, "")], "order_id int, customer_id int, order_ts timestamp_ntz, v string")
