@@ -46,6 +46,8 @@ B.sql("tvf_explode", "SELECT v FROM explode(ARRAY[3, 1, 2]) AS t(v)", "SELECT un
 B.sql("derived_table", "SELECT t.k, t.n FROM (SELECT l_shipmode_free, count(*) FROM (SELECT l_returnflag AS l_shipmode_free FROM lineitem) GROUP BY 1) AS t(k, n)")
 B.sql("row_constructor", "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_orderpriority) = ('F', '1-URGENT')")
 
+B.sql("table_statement", "TABLE region", "SELECT * FROM region")
+
 # --- joins
 B.sql("inner_multi", "SELECT o.order_id, c.full_name, e.artist FROM ticket_orders o JOIN customers c ON o.customer_id = c.customer_id JOIN concerts e ON o.event_id = e.event_id WHERE o.status = 'PAID'")
 B.sql("left_on_filter", "SELECT c.customer_id, count(DISTINCT o.order_id) AS n FROM customers c LEFT JOIN ticket_orders o ON o.customer_id = c.customer_id AND o.status = 'PAID' GROUP BY c.customer_id")
@@ -64,6 +66,7 @@ B.sql("theta_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nati
 _LATERAL = "SELECT n_name, s_name, s_acctbal FROM nation JOIN LATERAL (SELECT s_name, s_acctbal FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 2) x"
 B.sql("lateral_join", _LATERAL, _LATERAL + " ON true")
 B.sql("left_lateral", "SELECT n_name, top FROM nation LEFT JOIN LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey HAVING count(*) > 3) x", "SELECT n_name, top FROM nation LEFT JOIN LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey HAVING count(*) > 3) x ON true")
+B.sql("lateral_explode", "SELECT n_nationkey, x FROM nation, LATERAL explode(sequence(0, n_regionkey)) AS t(x)", "SELECT n_nationkey, unnest(range(0, n_regionkey + 1))::INT AS x FROM nation")
 B.sql("null_key_join", "SELECT count(*) AS n FROM ticket_orders a JOIN ticket_orders b ON a.customer_id = b.customer_id AND a.order_id = b.order_id")
 B.sql(
     "fanout_fixed",
@@ -106,6 +109,7 @@ B.sql("filter_agg", "SELECT channel, count(*) FILTER (WHERE status = 'PAID') AS
 B.sql("count_distinct_multi", "SELECT count(DISTINCT customer_id, event_id) AS pairs, count_distinct(promo_code) AS codes FROM ticket_orders", "SELECT (SELECT count(*) FROM (SELECT DISTINCT customer_id, event_id FROM ticket_orders WHERE customer_id IS NOT NULL AND event_id IS NOT NULL)) AS pairs, count(DISTINCT promo_code) AS codes FROM ticket_orders")
 B.sql("rollup_op", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 B.sql("cube_op", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+B.sql("with_rollup", "SELECT channel, count(*) AS n FROM ticket_orders GROUP BY channel WITH ROLLUP", "SELECT channel, count(*) AS n FROM ticket_orders GROUP BY ROLLUP (channel)")
 B.sql("grouping_sets", "SELECT channel, status, count(*) AS n FROM ticket_orders GROUP BY GROUPING SETS ((channel), (status), ())")
 B.sql("grouping_id_op", "SELECT channel, status, CAST(grouping(channel) AS BIGINT) AS g, grouping_id() AS gid, count(*) AS n FROM ticket_orders GROUP BY CUBE (channel, status)", "SELECT channel, status, grouping(channel)::BIGINT AS g, grouping(channel, status)::BIGINT AS gid, count(*) AS n FROM ticket_orders GROUP BY CUBE (channel, status)")
 B.sql("max_by_min_by", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS top, min_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS low FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS low FROM orders GROUP BY o_custkey")
@@ -133,6 +137,7 @@ B.sql("running_range_peers", "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p
 B.sql("moving_avg", f"SELECT o_orderkey, round(avg(o_totalprice) OVER ({_O} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS a FROM orders")
 B.sql("following_frame", f"SELECT o_orderkey, count(*) OVER ({_O} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM orders")
 B.sql("range_numeric", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part")
+B.sql("range_interval", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS n FROM orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW) AS n FROM orders")
 B.sql("window_over_agg", "SELECT o_orderstatus, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY o_orderstatus")
 B.sql("share_of_total", "SELECT channel, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ticket_orders GROUP BY channel", "SELECT channel, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM ticket_orders GROUP BY channel")
 B.sql("named_window", f"SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n FROM orders WINDOW w AS ({_O})")

@@ -28,3 +28,15 @@ def rows(df, *order):
     """Rows as tuples, sorted with nulls first."""
     key = lambda r: tuple((x is not None, str(type(x)) if isinstance(x, (list, dict)) else "", x if not isinstance(x, (list, dict)) else str(x)) for x in r)
     return sorted((tuple(r) for r in df.select(*(order or df.columns)).collect()), key=key)
+
+
+def hollow_folder(path, n_null_rows):
+    """The test tables' schemas with no rows, or with rows of nothing but nulls."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    src = Path("/root/testdata/sf0.001")
+    for f in src.glob("*.parquet"):
+        schema = pq.read_schema(f).remove_metadata()
+        pq.write_table(pa.table([pa.nulls(n_null_rows, t) for t in schema.types], schema=schema), path / f.name)
+    return str(path)
