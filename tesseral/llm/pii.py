@@ -44,16 +44,16 @@ def _rules() -> dict:
     import regex
 
     r = {}
-    label = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    label = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
     alnum = r"A-Za-z0-9_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-    local = rf"[{alnum}](?:[{alnum}.+'%-]*[{alnum}])?"
+    local = rf"[{alnum}](?:[{alnum}.+'%-]{{0,63}}[{alnum}])?"
     dot = r"(?:\.|\s?[\[({<]\s?(?:dot|punto|punkt|point)\s?[\])}>]\s?)"
     at = r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?"
-    spelled = rf"[{alnum}+-]+(?:(?:\.| dot )[{alnum}+-]+)*"
+    spelled = rf"[{alnum}+-]{{1,64}}(?:(?:\.| dot )[{alnum}+-]{{1,64}}){{0,6}}"
     r["email"] = [
         regex.compile(rf"(?<![{alnum}.+%-]){local}(?:@| @ ){label}(?:\.{label})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9_])", regex.I),
-        regex.compile(rf"(?<![{alnum}.+%-])[{alnum}](?:[{alnum}+-]|{dot})*{at}{label}(?:{dot}{label})*{dot}[A-Za-z]{{2,}}(?![A-Za-z0-9_])", regex.I),
-        regex.compile(rf"(?<![{alnum}.+%-]){spelled} at {label}(?: dot {label})* dot [A-Za-z]{{2,}}(?! (?:at|dot) )(?![A-Za-z0-9_@])", regex.I),
+        regex.compile(rf"(?<![{alnum}.+%-])[{alnum}](?:[{alnum}+-]|{dot}){{0,80}}{at}{label}(?:{dot}{label}){{0,6}}{dot}[A-Za-z]{{2,}}(?![A-Za-z0-9_])", regex.I),
+        regex.compile(rf"(?<![{alnum}.+%-]){spelled} at {label}(?: dot {label}){{0,6}} dot [A-Za-z]{{2,}}(?! (?:at|dot) )(?![A-Za-z0-9_@])", regex.I),
     ]
     r["url"] = regex.compile(r"(?:https?://|www\.)\S+|(?<![\w@])[@#][\w.]+")
     edge, stop = r"(?<![\p{L}\p{N}_#/=-])", r"(?![\p{L}\p{N}_]|-\p{N}|/\p{N})"
@@ -68,7 +68,8 @@ def _rules() -> dict:
     r["id_cued"] = regex.compile(
         rf"(?:\b(?:{ID_LABEL})\b(?:\.?:?| ?\|)|(?:{ID_CONTEXT}))[ (|:]*(?:(?:{ID_LABEL})\.?:? *)?(?P<id>\d{{3}}[- ]?\d{{2}}[- ]?\d{{4}}|\d{{4}}[- ]?\d{{4}}[- ]?\d{{4}}|\d{{9}}){stop}", regex.I
     )
-    r["phone"] = regex.compile(r"(?<![\p{L}\p{N}_#/=.:-])(?:\(?\+ ?|\()?\p{Nd}(?:[ .\-/]{0,2}[()]?[ .\-/]{0,2}\p{Nd})+(?![\p{L}\p{N}_%€$£]|[.,:-]\p{N})")
+    # bounded, so that long runs of digits cost no more than their length
+    r["phone"] = regex.compile(r"(?<![\p{L}\p{N}_#/=.:-])(?<!\p{Nd}[ .\-/])(?:\(?\+ ?|\()?\p{Nd}(?>(?>\.|[ \-/]{0,2}[()]?[ \-/]?)\p{Nd}){5,18}(?![ \-/]{0,2}\p{N}|\.\p{N})(?![\p{L}_%€$£]|[.,:-]\p{N})")
     r["phone_label"] = regex.compile(rf"(?:\b(?:{PHONE_LABEL})\b[ :(=|]*)$", regex.I)
     word = r"[\p{L}][\p{L}\p{M}'.-]*"
     flat = r"(?:Flat|Unit|Apt|Apartment|Suite|Ste|Floor|Room|Studio)\.? ?#?[A-Z]?\d*[A-Z]?"
@@ -80,7 +81,7 @@ def _rules() -> dict:
         regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?:\p{{Lu}}[\p{{L}}'-]+ ){{1,2}}(?:Cottage|House|Lodge|Farm|Manor|Barn|Villa|Hall), (?:\p{{Lu}}[\p{{L}}'-]+ ){{1,2}}(?:{STREET})\b"),
         regex.compile(rf"(?<![\p{{L}}\p{{N}}_])[\p{{L}}'-]+ cottage, (?:[\p{{L}}'-]+ ){{1,2}}(?:{STREET})\b", regex.I),
         regex.compile(
-            rf"(?<![\p{{L}}\p{{N}}_])(?:(?-i:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den|Hinter der) (?!{MONTHS})(?:\p{{L}}+e[nrms] )?\p{{L}}[\p{{L}}-]+|am (?!{MONTHS})\p{{L}}+en \p{{L}}+|[\p{{L}}-]*(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad))"
+            rf"(?<![\p{{L}}\p{{N}}_-])(?:(?-i:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den|Hinter der) (?!{MONTHS})(?:\p{{L}}+e[nrms] )?\p{{L}}[\p{{L}}-]+|am (?!{MONTHS})\p{{L}}+en \p{{L}}+|[\p{{L}}-]*(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad))"
             r" \d+(?: ?[a-z]\b)?(?![\p{L}\p{N}:]|[./]\p{N})(?:, (?:Hinterhaus|Vorderhaus|Seitenflügel|EG|DG|\d+\. ?(?:OG|Stock)|Whg\.? ?\d+))?",
             regex.I,
         ),
@@ -90,7 +91,14 @@ def _rules() -> dict:
     # cheap tests, on the text in lower case, whether a rule can match at all
     r["email_hint"] = [re.compile(p) for p in ("@", r"[\[({<]\s?(?:at|@|arroba)\s?[\])}>]", " dot ")]
     r["digits"] = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|\d{4}[- ]\d{4}")
-    r["address_hint"] = [re.compile(p) for p in (rf"\d.*\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace(r"\d", "[0-9]"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage", r"(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) [^\n]+ \d|(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d", r"\d.*(?:rue|avenue|av\.|boulevard|bd|impasse|place|allée|chemin|quai|route|cours|passage|square)", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía")]
+    r["address_hint"] = [
+        re.compile(p)
+        for p in (
+            rf"\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace("\\B", "\\b"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage",
+            r"\b(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) |(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d",
+            r"\b(?:rue|avenue|av\.|boulevard|bd|impasse|place|allée|chemin|quai|route|cours|passage|square)\b", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía",
+        )
+    ]
     # a name: given or family name or both, with initials and particles, in either order
     for case, first in (("cap", r"\p{Lu}"), ("low", r"\p{L}")):
         w = rf"{first}[\p{{L}}\p{{M}}]+(?:'(?!s\b){first}[\p{{L}}\p{{M}}]+)?"
