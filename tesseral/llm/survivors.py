@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesseral.operators import skew
+
 #: Letters of a status, best first; anything else or nothing comes last.
 STATUS_ORDER = ("settled", "pending", "failed")
 #: A time that stands for none.
@@ -73,28 +75,27 @@ _CHOICE = T.StructType([
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The search for the groups whose best bundles contradict each other: at most two candidates a bundle are left."""
-    some = lambda v: v is not None and not pd.isna(v)
+    """The search for the charges whose best bundles contradict each other, over all candidates of each."""
     for pdf in batches:
         out = []
         for g in pdf.itertuples(index=False):
-            needs = {1: g.own_time} if some(g.own_time) else {}
-            if some(g.own_method):
-                needs[2] = g.own_method
-            times = [
-                {"value": t, "trust": (k, r, t), "needs": {2: m} if some(m) else {}}
-                for t, k, r, m in ((g.own_time, 1, g.own_time_rank, g.own_time_method), (g.best_time, 0, g.best_time_rank, g.best_time_method))
-                if some(t)
-            ]
-            methods = [
-                {"value": m, "trust": (k, m), "needs": {}}
-                for k, m in ((3, g.own_method), (2, g.own_time_method), (1, g.best_time_method), (0, g.best_method))
-                if some(m)
-            ]
-            chosen, _ = branch_and_bound([[{"value": g.payment_id, "trust": (1,), "needs": needs}], times, methods])
-            out.append((g.order_id, g.cents, None if not some(g.payment_id) else int(g.payment_id), g.status, chosen[1]["value"], chosen[2]["value"], g.n_rows))
-        frame = pd.DataFrame(out, columns=_CHOICE.names)
-        for c in ("payment_id", "time_us"):
+            head, needs, times, methods = g.head, {}, [], []
+            if head["own_time"] is not None:
+                needs[1] = head["own_time"]
+            if head["own_method"] is not None:
+                needs[2] = head["own_method"]
+            for c in g.candidates:
+                own, name = int(c["own"]), c["method"]
+                for t in (c["t"], c["same"]):
+                    if t is not None:
+                        times.append({"value": t["time"], "trust": (own, t["rank"], t["time"]), "needs": {2: name} if name is not None else {}})
+                if name is not None:
+                    raw = c["m"]["raw_time"]
+                    methods.append({"value": name, "trust": (own, c["m"]["rank"], () if raw is None else (raw,), name), "needs": {}})
+            chosen, _ = branch_and_bound([[{"value": head["payment_id"], "trust": (1,), "needs": needs}], times, methods])
+            out.append((g.order_id, g.cents, head["payment_id"], head["status"], chosen[1]["value"], chosen[2]["value"], head["n_rows"]))
+        frame = pd.DataFrame(out, columns=_CHOICE.names, dtype=object)
+        for c in ("order_id", "cents", "payment_id", "time_us", "n_rows"):
             frame[c] = frame[c].astype("Int64")
         yield frame
 
@@ -111,8 +112,10 @@ def charges(payments: DataFrame) -> DataFrame:
 
     Each bundle's best candidate, and the best among the rows of each payment_id, are maxima of structs, combined
     before each shuffle, so a charge that holds a third of all rows is a few rows when it is put together. As bundles
-    count in order, the best charge row bounds all others away; what remains are at most two candidates for each further
-    bundle. Where the unconstrained maxima agree they are the solution; the others go through branch and bound.
+    count in order, the best charge row bounds all others away. Where the unconstrained maxima agree they are the
+    solution; the others go through branch and bound. For these the rows are read again, as a maximum that is infeasible
+    hides the next best: a charge has the best time and the best method by method, null among them, apart for the chosen
+    payment and for all others, and those of its rows that have the chosen payment's own time.
     Repeated rows change nothing but n_rows. An empty table gives no rows; extra columns are dropped.
     """
     time = F.when(F.col("paid_ts") != F.lit(DEFAULT_TIME).cast("timestamp_ntz"), F.unix_micros(F.col("paid_ts").cast("timestamp")))
@@ -137,18 +140,23 @@ def charges(payments: DataFrame) -> DataFrame:
     best = by_id.groupBy("order_id", "cents").agg(
         F.max(F.struct("charge", "t", "m")).alias("c"), F.max("t").alias("bt"), F.max("m").alias("bm"), F.sum("n").alias("n_rows")
     )
+    time, method = F.coalesce("c.t", "bt"), F.coalesce("c.m.method", "bm.method")
     flat = best.select(
         "order_id", "cents", F.col("c.charge.payment_id").alias("payment_id"), F.col("c.charge.letters").alias("status"),
-        F.col("c.t.time").alias("own_time"), F.col("c.t.rank").alias("own_time_rank"), F.col("c.t.method").alias("own_time_method"), F.col("c.m.method").alias("own_method"),
-        F.col("bt.time").alias("best_time"), F.col("bt.rank").alias("best_time_rank"), F.col("bt.method").alias("best_time_method"), F.col("bm.method").alias("best_method"),
-        "n_rows",
+        time["time"].alias("time_us"), time["method"].alias("time_method"), method.alias("method"),
+        F.col("c.t.time").alias("own_time"), F.col("c.m.method").alias("own_method"), "n_rows",
     )
-    agree = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-    easy = (
-        (F.col("own_time").isNull() | (F.col("own_time") == F.col("best_time")))
-        & (F.col("own_method").isNull() | (F.col("own_method") == F.col("best_method")))
-        & agree("best_time_method", "best_method")
+    easy = F.col("time_method").isNull() | (F.col("time_method") == F.col("method"))
+    root = flat.where(easy).select(*_CHOICE.names)
+    head = F.struct("payment_id", "status", "own_time", "own_method", "n_rows").alias("head")
+    counts = flat.select("order_id", "cents", F.col("n_rows").alias("_n"))
+    again = skew.salted_join(rows.where("time is not null or method is not null"), flat.where(~easy).select("order_id", "cents", head), ["order_id", "cents"], counts=counts)
+    candidates = again.groupBy("order_id", "cents", F.col("payment_id").eqNullSafe(F.col("head.payment_id")).alias("own"), "method").agg(
+        F.max(F.when(F.col("time").isNotNull(), F.struct("rank", "time"))).alias("t"),
+        F.max(F.when(F.col("time") == F.col("head.own_time"), F.struct("rank", "time"))).alias("same"),
+        F.max(F.struct("rank", "raw_time")).alias("m"),
+        F.first("head").alias("head"),
     )
-    root = flat.where(easy).select("order_id", "cents", "payment_id", "status", F.col("best_time").alias("time_us"), F.col("best_method").alias("method"), "n_rows")
-    hard = flat.where(~easy).mapInPandas(_search, _CHOICE)
-    return root.unionByName(hard).select("order_id", "cents", "payment_id", "status", F.timestamp_micros("time_us").alias("paid_ts"), "method", "n_rows")
+    hard = candidates.groupBy("order_id", "cents").agg(F.first("head").alias("head"), F.collect_list(F.struct("own", "method", "t", "same", "m")).alias("candidates"))
+    found = root.unionByName(hard.mapInPandas(_search, _CHOICE))
+    return found.select("order_id", "cents", "payment_id", "status", F.timestamp_micros("time_us").alias("paid_ts"), "method", "n_rows")

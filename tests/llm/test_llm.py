@@ -93,6 +93,13 @@ def test_pack_places_every_token_once(spark):
 
 # --- survivors
 
+ORDER_19102 = [
+    (13092, 19102, datetime(2025, 4, 6, 13, 28, 41), 157.95, 'card', 'Failed'),
+    (13093, 19102, datetime(2025, 4, 12, 13, 28, 41), 157.95, 'paypal', 'FAILED'),
+    (13094, 19102, None, 157.9503, 'card', 'FAILED'),
+    (13095, 19102, None, 157.95, 'card', 'SETTLED'),
+]
+
 
 def test_branch_and_bound_equals_all_choices():
     import itertools
@@ -133,6 +140,44 @@ def test_charges(spark):
     assert survivors.charges(df.limit(0)).count() == 0
 
 
+def _brute_charge(found):
+    """The payment, time and method of one charge, by trying every pair of a row's time and a row's method."""
+    none = datetime(1970, 1, 1)
+    word = lambda s: "".join(c for c in s or "" if c.isalpha()).lower()
+    rank = lambda s: {"settled": 3, "pending": 2, "failed": 1}.get(word(s), 0)
+    low = lambda v: () if v is None else (v,)
+    best = max(found, key=lambda r: (rank(r[5]), low(r[2]), -sum(v is None for v in (r[2], r[4], r[5])), low(r[0])))
+    times = [((r[0] == best[0], rank(r[5]), r[2]), r[2], r[4]) for r in found if r[2] not in (None, none)]
+    methods = [((r[0] == best[0], rank(r[5]), low(r[2]), r[4]), r[4]) for r in found if r[4] is not None]
+    own_time = max((x for x in times if x[0][0]), default=((), None), key=lambda x: x[0])[1]
+    own_method = max((x for x in methods if x[0][0]), default=((), None), key=lambda x: x[0])[1]
+    pairs = [(t[0], m[0], t[1], m[1]) for t in [*times, ((), None, None)] for m in [*methods, ((), None)] if t[2] in (None, m[1])]
+    kept = [p for p in pairs if own_time in (None, p[2]) and own_method in (None, p[3])]
+    return best[0], *max(kept or pairs, key=lambda p: p[:2])[2:]
+
+
+def test_charges_equal_a_search_over_all_rows(spark):
+    # order 19102 of sf0.1: the best time is paypal's, the best row is card's and has none
+    t = lambda *a: datetime(2024, *a)
+    data = ORDER_19102 + [
+        # the time without a method goes with the better method of another row
+        (1, 1, t(1, 5), 1.0, "paypal", "pending"), (2, 1, t(1, 5), 1.0, None, "pending"), (3, 1, None, 1.0, None, "settled"), (4, 1, datetime(1970, 1, 1), 1.0, "card", "settled"),
+    ]
+    rng = random.Random(4)
+    for order in range(2, 1500):
+        for _ in range(rng.randint(1, 6)):
+            when = rng.choice([None, datetime(1970, 1, 1), t(1, 1), t(1, 2), t(1, 3)])
+            data.append((rng.choice([None, 1, 2, 3, 4]), order, when, 1.0, rng.choice([None, "card", "paypal", "voucher"]), rng.choice([None, "settled", "pending", "failed"])))
+    df = spark.createDataFrame(data, "payment_id int, order_id int, paid_ts timestamp_ntz, amount double, method string, status string")
+    got = {r["order_id"]: (r["payment_id"], r["paid_ts"] and r["paid_ts"].replace(tzinfo=None), r["method"]) for r in survivors.charges(df).collect()}
+    groups = defaultdict(list)
+    for r in data:
+        groups[r[1]].append(r)
+    want = {k: _brute_charge(v) for k, v in groups.items()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+    assert got[19102][0] == 13095 and got[19102][1] is not None
+
+
 # --- personal information
 
 KNOWN = {w: (i == 0, i == 1, True) for i, ws in enumerate((["petra", "idris", "winter"], ["lindqvast", "orlovar"])) for w in ws}
