@@ -96,7 +96,7 @@ def _rules() -> dict:
         for p in (
             rf"\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace("\\B", "\\b"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage",
             r"\b(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) |(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d",
-            r"\b(?:rue|avenue|av\.|boulevard|bd|impasse|place|allée|chemin|quai|route|cours|passage|square)\b", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía",
+            r"\b(?:rue|avenue|av\.|boulevard|bd\.?|impasse|place|allée|chemin|quai|route|cours|passage|square) ", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía",
         )
     ]
     # a name: given or family name or both, with initials and particles, in either order

@@ -202,6 +202,25 @@ def test_detect(text, want):
     assert all(text[a:b] == s for _, a, b, s, _, _ in got)
 
 
+# by rule: how the group of its words begins in the rule's pattern, and a text for a word of it
+ADDRESS_WORDS = [
+    (0, "St|", "12 Heron {}"), (0, "Court|", "12 Heron {}"), (1, "Cottage|", "Rose {}, Heron Lane"), (1, "St|", "Rose Cottage, Heron {}"), (2, "St|", "rose cottage, heron {}"),
+    (3, "Am|", "{} Rosenhof 5"), (3, "gasse|", "Rosen{} 5"), (4, "rue|", "12 {} Victor Hugo"), (5, "C/|", "{} Mayor 5"),
+]
+
+
+@pytest.mark.parametrize("rule,begins,form", ADDRESS_WORDS)
+def test_every_address_word_passes_its_hint(rule, begins, form):
+    rx, hint = pii._rules()["address"][rule], pii._rules()["address_hint"][rule]
+    pattern = rx.pattern.replace("stra(?:ß|ss)e", "straße|strasse")
+    group = pattern[pattern.index(begins) :].split(")")[0]
+    for w in group.split("|"):
+        for word in {w.replace("\\.?", "").replace("\\.", "."), w.replace("\\.?", ".").replace("\\.", ".")}:
+            text = form.format(word)
+            assert rx.search(text) and hint.search(text.lower()), text
+            assert [k for k, *_ in pii.detect(text, {})] == ["street_address"], text
+
+
 def test_surrogates_keep_form():
     for kind, s in (("phone", "+44 (0)20 7946 0834"), ("id_number", "00.859.483-M"), ("id_number", "nk 12 34 56 c"), ("phone", "0044 7700-900-618")):
         canon = pii._canon(kind, s)
