@@ -98,6 +98,10 @@ B.sql("order_nulls", "SELECT customer_id, signup_date FROM customers ORDER BY si
 B.sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 B.sql("topk", "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey LIMIT 25")
 B.sql("order_by_alias", "SELECT n_name AS n, n_regionkey * 10 AS k FROM nation ORDER BY k DESC, 1 LIMIT 7")
+# the whole order: rn is the place that a row has in the sorted output
+_PLACED = "SELECT {cols}, CAST(row_number() OVER (ORDER BY place) AS BIGINT) AS rn FROM (SELECT *, monotonically_increasing_id() AS place FROM ({sorted}))"
+B.sql("order_nulls_all", _PLACED.format(cols="customer_id, signup_date", sorted="SELECT customer_id, signup_date FROM customers ORDER BY signup_date DESC NULLS FIRST, customer_id"), "SELECT customer_id, signup_date, row_number() OVER (ORDER BY signup_date DESC NULLS FIRST, customer_id NULLS FIRST) AS rn FROM customers")
+B.sql("order_by_alias_all", _PLACED.format(cols="n, k", sorted="SELECT n_name AS n, n_regionkey * 10 AS k FROM nation ORDER BY k DESC, 1"), "SELECT n_name AS n, n_regionkey * 10 AS k, row_number() OVER (ORDER BY n_regionkey DESC, n_name) AS rn FROM nation")
 
 # --- grouping
 B.sql("group_multi", f"SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS qty, {_REV} AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")

@@ -29,3 +29,17 @@ def test_some_queries_equal_the_oracle(spark, name):
     assert sorted(cols) == sorted(df.columns)
     show = lambda rs: sorted(str([str(x)[:10] if hasattr(x, "year") else round(x, 4) if isinstance(x, float) else x for x in r]) for r in rs)
     assert show(df.select(*cols).collect()) == show(cur.fetchall())
+
+
+@pytest.mark.parametrize("name,of", [("order_nulls_all", "customers"), ("order_by_alias_all", "nation")])
+def test_the_whole_order_equals_the_oracle(spark, name, of):
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {of} AS SELECT * FROM '{folder}/{of}.parquet'")
+    cur = con.execute(entry.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    got = entry.queries()[name](spark, folder)
+    want = cur.fetchall()
+    assert set(got.columns) == set(cols)
+    assert sorted(map(tuple, got.select("rn", *cols).collect()), key=lambda r: r[0]) == sorted(((r[-1], *r) for r in want), key=lambda r: r[0])
+    assert len(want) == con.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
