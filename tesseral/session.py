@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder beside the checkpoints, removed when the application ends."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -59,6 +71,10 @@ class Engine:
 
         self.spark = spark or get_session()
         self.as_of = as_of
+        #: The views created here: name -> query, oldest first.
+        self.views: dict[str, str] = {}
+        if store is None and not self.spark.sparkContext.master.startswith("local"):
+            raise ValueError("store must name a folder that all executors share")
         self.store = Store(self.spark, store or os.path.join(tempfile.mkdtemp(prefix="tesseral-store-"), "tables"))
 
     def register(self, folder: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tesseral.operators.merge import When, merge
+from tesseral.operators.merge import When, merge_into
 from tesseral.operators.patterns import latest_per_key
 from tesseral.sources.versioned import Store
 
@@ -38,9 +38,7 @@ def upsert_batches(spark: SparkSession, store: Store, name: str, keys: list[str]
     on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
 
     def run(batch: DataFrame, _: int) -> None:
-        source = latest_per_key(batch, keys, order)
-        rows, columns = merge(batch.sparkSession, store.read(name, row_ids=True), source, on, [When("matched", "update", None, "*"), When("insert", "insert", None, "*")])
-        store.write(name, rows.where("substr(_action, 1, 1) NOT IN ('d', 'n')").select(*columns))
+        merge_into(store, name, latest_per_key(batch, keys, order), on, [When("matched", "update", None, "*"), When("insert", "insert", None, "*")])
 
     return run
 

@@ -126,6 +126,48 @@ def test_what_tables_refuse(engine):
     assert rows(engine.sql("SELECT count(*) FROM dim")) == [(2,)]
 
 
+def _files(store, name):
+    return set(store.files(store.meta(name)))
+
+
+def test_untouched_files_stay(engine):
+    engine.execute("CREATE TABLE f AS SELECT 1 AS k, 'a' AS v; INSERT INTO f VALUES (2, 'b'); INSERT INTO f VALUES (3, 'c')")
+    first = _files(engine.store, "f")
+    engine.execute("INSERT INTO f VALUES (4, 'd')")
+    assert first < _files(engine.store, "f")
+    before = _files(engine.store, "f")
+    engine.execute("UPDATE f SET v = 'x' WHERE k = 2")
+    assert len(before - _files(engine.store, "f")) == 1
+    before = _files(engine.store, "f")
+    engine.execute("DELETE FROM f WHERE k > 100; MERGE INTO f t USING (SELECT 9 AS k, 'n' AS v) s ON t.k = s.k WHEN NOT MATCHED THEN INSERT *")
+    assert before < _files(engine.store, "f")
+    before = _files(engine.store, "f")
+    engine.execute("MERGE INTO f t USING (SELECT 3 AS k, 'm' AS v) s ON t.k = s.k WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+    assert len(before - _files(engine.store, "f")) == 1
+    want = [(1, "a"), (2, "x"), (3, "m"), (4, "d"), (9, "n")]
+    assert rows(engine.sql("SELECT * FROM f")) == want
+    engine.store.compact("f")
+    assert rows(engine.sql("SELECT * FROM f")) == want and len(engine.store.meta("f").segments) == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tesseral.sources.versioned import Store
+
+    a = Store(spark, str(tmp_path / "s"))
+    a.write("t", spark.createDataFrame([(0,)], "k int"))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: Store(spark, str(tmp_path / "s")).append("t", spark.createDataFrame([(k,)], "k int")), range(1, 9)))
+    assert rows(a.read("t")) == [(k,) for k in range(9)] and a.meta("t").version == 9
+    # a change that rests on an older version doesn't undo what came since
+    base = a.meta("t")
+    a.append("t", spark.createDataFrame([(50,)], "k int"))
+    with pytest.raises(DialectError) as e:
+        a.replace_files("t", base, a.files(base), None)
+    assert e.value.condition == "CONCURRENT_WRITE" and a.read("t").count() == 10
+
+
 SRC = "(SELECT * FROM VALUES (2, 'bb', 'T'), (3, NULL, 'U'), (9, 'i', 'V') AS s(id, name, tier))"
 
 
