@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesseral.plans.rewrite import rewrite
+from tesseral.plans.planner import plan
 from tesseral.session import DEFAULT_AS_OF
 from tesseral.sources.readers import table
 
@@ -25,7 +25,7 @@ def run_sql(spark: SparkSession, folder: str, sql: str, as_of: datetime | None =
     """Run one query of the dialect over the Parquet tables of a folder; only the tables it names are registered."""
     for t in used_tables(sql):
         table(spark, folder, t).createOrReplaceTempView(t)
-    return spark.sql(rewrite(sql, as_of))
+    return plan(spark, sql, as_of)
 
 
 class Book:

@@ -50,7 +50,7 @@ B.sql("table_statement", "TABLE region", "SELECT * FROM region")
 
 # --- joins
 B.sql("inner_multi", "SELECT o.order_id, c.full_name, e.artist FROM ticket_orders o JOIN customers c ON o.customer_id = c.customer_id JOIN concerts e ON o.event_id = e.event_id WHERE o.status = 'PAID'")
-B.sql("left_on_filter", "SELECT c.customer_id, count(DISTINCT o.order_id) AS n FROM customers c LEFT JOIN ticket_orders o ON o.customer_id = c.customer_id AND o.status = 'PAID' GROUP BY c.customer_id")
+B.sql("left_on_filter", "SELECT s_suppkey, count(l_orderkey) AS bulk_lines FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity >= 49 AND l_discount > 0.09 GROUP BY s_suppkey")
 B.sql("right_join", "SELECT e.event_id, count(s.snapshot_date) AS n FROM seat_inventory s RIGHT JOIN concerts e ON s.event_id = e.event_id GROUP BY e.event_id")
 B.sql("full_outer", "SELECT coalesce(p.order_id, r.order_id) AS order_id, p.order_id IS NULL AS no_payment, r.order_id IS NULL AS no_refund FROM (SELECT DISTINCT order_id FROM payments WHERE order_id IS NOT NULL) p FULL OUTER JOIN (SELECT DISTINCT order_id FROM refunds WHERE order_id IS NOT NULL) r ON p.order_id = r.order_id")
 B.sql("cross_join", "SELECT r_name, pack_id FROM region CROSS JOIN pack_sizes")
@@ -82,8 +82,8 @@ B.sql("correlated_theta", "SELECT n_name, (SELECT count(*) FROM nation b WHERE b
 B.sql("exists_subquery", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 B.sql("not_exists_subquery", "SELECT customer_id FROM customers c WHERE NOT EXISTS (SELECT 1 FROM ticket_orders o WHERE o.customer_id = c.customer_id)")
 B.sql("in_subquery", "SELECT order_id FROM payments WHERE order_id IN (SELECT order_id FROM refunds)")
-B.sql("not_in_null", "SELECT count(*) AS n FROM customers WHERE customer_id NOT IN (SELECT referred_by FROM customers)")
-B.sql("not_in_clean", "SELECT count(*) AS n FROM customers WHERE customer_id NOT IN (SELECT referred_by FROM customers WHERE referred_by IS NOT NULL)")
+B.sql("not_in_null", "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT nullif(s_nationkey, 7) FROM supplier)")
+B.sql("not_in_clean", "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
 B.sql("having_subquery", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > (SELECT avg(k) FROM (SELECT count(*) AS k FROM orders GROUP BY o_custkey))")
 
 # --- set operations, sorting
@@ -109,7 +109,7 @@ B.sql("group_all", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM or
 B.sql("group_ordinal", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1", "SELECT year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY 1")
 B.sql("group_null_key", "SELECT loyalty_tier, count(*) AS n FROM customers GROUP BY loyalty_tier")
 B.sql("having_alias", "SELECT customer_id, count(*) AS n FROM ticket_orders GROUP BY customer_id HAVING n > 20")
-B.sql("filter_agg", "SELECT channel, count(*) FILTER (WHERE status = 'PAID') AS paid, count(*) FILTER (WHERE status = 'REFUNDED') AS refunded, round(100.0D * count(*) FILTER (WHERE status = 'REFUNDED') / count(*), 4) AS pct FROM ticket_orders GROUP BY channel", "SELECT channel, count(*) FILTER (WHERE status = 'PAID') AS paid, count(*) FILTER (WHERE status = 'REFUNDED') AS refunded, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'REFUNDED') / count(*), 4) AS pct FROM ticket_orders GROUP BY channel")
+B.sql("filter_agg", "SELECT p_brand, count(*) FILTER (WHERE p_size > 30) AS large, sum(p_size) FILTER (WHERE p_retailprice < 1200) AS cheap_sizes, max(p_retailprice) FILTER (WHERE p_size % 2 = 0) AS even_top FROM part GROUP BY p_brand", "SELECT p_brand, count(*) FILTER (WHERE p_size > 30) AS large, CAST(sum(p_size) FILTER (WHERE p_retailprice < 1200) AS BIGINT) AS cheap_sizes, max(p_retailprice) FILTER (WHERE p_size % 2 = 0) AS even_top FROM part GROUP BY p_brand")
 B.sql("count_distinct_multi", "SELECT count(DISTINCT customer_id, event_id) AS pairs, count_distinct(promo_code) AS codes FROM ticket_orders", "SELECT (SELECT count(*) FROM (SELECT DISTINCT customer_id, event_id FROM ticket_orders WHERE customer_id IS NOT NULL AND event_id IS NOT NULL)) AS pairs, count(DISTINCT promo_code) AS codes FROM ticket_orders")
 B.sql("rollup_op", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 B.sql("cube_op", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -146,11 +146,13 @@ B.sql("window_over_agg", "SELECT o_orderstatus, count(*) AS n, CAST(sum(count(*)
 B.sql("share_of_total", "SELECT channel, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ticket_orders GROUP BY channel", "SELECT channel, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM ticket_orders GROUP BY channel")
 B.sql("named_window", f"SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n FROM orders WINDOW w AS ({_O})")
 B.sql("count_distinct_over", "SELECT order_id, customer_id, count(DISTINCT event_id) OVER (PARTITION BY customer_id) AS events FROM ticket_orders")
-B.sql("sum_distinct_over", "SELECT order_id, line_no, sum(DISTINCT quantity) OVER (PARTITION BY order_id) AS s FROM order_items", "SELECT order_id, line_no, (sum(DISTINCT quantity) OVER (PARTITION BY order_id))::DOUBLE AS s FROM order_items")
+B.sql("sum_distinct_over", "SELECT order_id, line_no, sum(DISTINCT quantity) OVER (PARTITION BY order_id) AS s FROM order_items", "SELECT order_id, line_no, (sum(DISTINCT quantity) OVER (PARTITION BY order_id))::BIGINT AS s FROM order_items")
+B.sql("distinct_over_types", "SELECT l_orderkey, l_linenumber, sum(DISTINCT 9007199254740993 + l_linenumber) OVER (PARTITION BY l_orderkey) AS big, CAST(sum(DISTINCT CAST(l_tax AS DECIMAL(12,2))) OVER (PARTITION BY l_orderkey) AS STRING) AS tax, CAST(avg(DISTINCT l_linenumber) OVER (PARTITION BY l_suppkey) AS DOUBLE) AS mean, count(DISTINCT l_partkey) OVER (PARTITION BY l_suppkey) AS parts FROM lineitem", "SELECT l_orderkey, l_linenumber, (sum(DISTINCT 9007199254740993 + l_linenumber) OVER (PARTITION BY l_orderkey))::BIGINT AS big, CAST(sum(DISTINCT CAST(l_tax AS DECIMAL(12,2))) OVER (PARTITION BY l_orderkey) AS VARCHAR) AS tax, avg(DISTINCT l_linenumber) OVER (PARTITION BY l_suppkey) AS mean, count(DISTINCT l_partkey) OVER (PARTITION BY l_suppkey) AS parts FROM lineitem")
+B.sql("distinct_over_running", f"SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER ({_O}) AS kinds, count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) * 10 AS tens FROM orders", f"SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER ({_O} RANGE UNBOUNDED PRECEDING) AS kinds, count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) * 10 AS tens FROM orders")
 B.sql("filter_over", "SELECT order_id, count(*) FILTER (WHERE status = 'PAID') OVER (PARTITION BY customer_id) AS paid FROM ticket_orders")
-B.sql("qualify_latest", "SELECT order_id, status FROM ticket_orders WHERE customer_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY order_ts DESC NULLS LAST, order_id DESC, status) = 1")
+B.sql("qualify_latest", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey)")
 B.sql("qualify_having", "SELECT customer_id, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS rk FROM ticket_orders GROUP BY customer_id HAVING count(*) > 3 QUALIFY rk <= 10 ORDER BY rk, customer_id", "SELECT customer_id, count(*) AS n, rank() OVER (ORDER BY count(*) DESC)::INT AS rk FROM ticket_orders GROUP BY customer_id HAVING count(*) > 3 QUALIFY rk <= 10")
-B.sql("top_n_per_group", "SELECT e.genre, e.artist, sum(i.quantity) AS sold, dense_rank() OVER (PARTITION BY e.genre ORDER BY sum(i.quantity) DESC, e.artist) AS rk FROM order_items i JOIN (SELECT DISTINCT order_id, event_id FROM ticket_orders) o USING (order_id) JOIN concerts e USING (event_id) GROUP BY ALL QUALIFY rk <= 3", "SELECT e.genre, e.artist, sum(i.quantity)::BIGINT AS sold, dense_rank() OVER (PARTITION BY e.genre ORDER BY sum(i.quantity) DESC, e.artist NULLS FIRST)::INT AS rk FROM order_items i JOIN (SELECT DISTINCT order_id, event_id FROM ticket_orders) o USING (order_id) JOIN concerts e USING (event_id) GROUP BY e.genre, e.artist QUALIFY rk <= 3")
+B.sql("top_n_per_group", "SELECT p_brand AS brand, l_partkey AS sku, CAST(sum(l_quantity) AS BIGINT) AS pieces, CAST(rank() OVER (PARTITION BY p_brand ORDER BY sum(l_quantity) DESC, l_partkey) AS BIGINT) AS place FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, l_partkey QUALIFY place <= 4")
 
 # --- CTEs and recursion
 B.sql("cte_chain", "WITH a AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders GROUP BY 1), b AS (SELECT c_nationkey, s FROM a JOIN customer ON c_custkey = o_custkey) SELECT c_nationkey, CAST(sum(s) AS DOUBLE) AS total FROM b GROUP BY 1")
@@ -167,6 +169,46 @@ def recursive_union_distinct(spark, d):
     return fixpoint(spark.range(1, 2), lambda new: new.join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id")))
 
 
+B.sql("recursive_sql_distinct", "WITH RECURSIVE hop(a, b) AS (SELECT s_suppkey, (s_suppkey * 7 + 3) % 60 FROM supplier), seen(id) AS (SELECT 1L UNION SELECT b FROM hop JOIN seen ON a = id) SELECT id FROM seen", "WITH RECURSIVE hop(a, b) AS (SELECT s_suppkey, (s_suppkey * 7 + 3) % 60 FROM supplier), seen(id) AS (SELECT 1::BIGINT UNION SELECT b FROM hop JOIN seen ON a = id) SELECT id FROM seen")
+B.sql("recursive_500_levels", "WITH RECURSIVE c(n, s) AS (SELECT 1, 1L UNION ALL SELECT n + 1, s + n + 1 FROM c WHERE n < 500) SELECT n, s FROM c", "WITH RECURSIVE c(n, s) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, s + n + 1 FROM c WHERE n < 500) SELECT n, s FROM c")
+B.sql("recursive_aggregate_step", "WITH RECURSIVE c(n, best) AS (SELECT 0, max(p_retailprice) FROM part UNION ALL SELECT max(c.n) + 1, max(p.p_retailprice) FROM c JOIN part p ON p.p_retailprice < c.best WHERE c.n < 6 GROUP BY c.n) SELECT n, best FROM c", "SELECT (row_number() OVER (ORDER BY best DESC) - 1)::INT AS n, best FROM (SELECT DISTINCT p_retailprice AS best FROM part ORDER BY best DESC LIMIT 7)")
+B.sql("recursive_outer_step", "WITH RECURSIVE up(id, k, found) AS (SELECT n_nationkey, 0, true FROM nation WHERE n_nationkey = 1 UNION ALL SELECT coalesce(n.n_nationkey, -1), up.k + 1, n.n_nationkey IS NOT NULL FROM up LEFT JOIN nation n ON n.n_nationkey = up.id * 2 WHERE up.k < 7 AND up.id > 0) SELECT id, k, found FROM up", "SELECT * FROM (VALUES (1, 0, true), (2, 1, true), (4, 2, true), (8, 3, true), (16, 4, true), (-1, 5, false)) AS t(id, k, found)")
+B.sql("exists_two_levels", "SELECT s.s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_totalprice > s.s_acctbal * 40))", "SELECT DISTINCT s_suppkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > s_acctbal * 40")
+
+# --- forms of the dialect that the queries above don't use
+B.sql("like_escape", "SELECT s, s LIKE '5!%%' ESCAPE '!' AS pct, s NOT LIKE '%!_%' ESCAPE '!' AS no_bar, s ILIKE 'A#%b' ESCAPE '#' AS il FROM VALUES ('5% off'), ('50 off'), ('a_b'), ('a%B'), (NULL) AS t(s)", "SELECT s, s LIKE '5!%%' ESCAPE '!' AS pct, s NOT LIKE '%!_%' ESCAPE '!' AS no_bar, s ILIKE 'A#%b' ESCAPE '#' AS il FROM (VALUES ('5% off'), ('50 off'), ('a_b'), ('a%B'), (NULL)) AS t(s)")
+B.sql("adjacent_literals", "SELECT 'one ' 'two' AS a, \"it's\" AS b, 'x' /* gap */ 'y' AS c", "SELECT 'one two' AS a, 'it''s' AS b, 'xy' AS c")
+B.sql("current_user_op", "SELECT current_user AS a, current_user() AS b", "SELECT 'lab_user' AS a, 'lab_user' AS b")
+B.sql("respect_nulls", "SELECT event_id, snapshot_date, first_value(seats_remaining) RESPECT NULLS OVER w AS f, last_value(seats_remaining) IGNORE NULLS OVER w AS l FROM (SELECT DISTINCT event_id, snapshot_date, seats_remaining FROM seat_inventory WHERE event_id IS NOT NULL AND snapshot_date IS NOT NULL) WINDOW w AS (PARTITION BY event_id ORDER BY snapshot_date, seats_remaining ROWS UNBOUNDED PRECEDING)", "SELECT event_id, snapshot_date, first_value(seats_remaining) OVER w AS f, last_value(seats_remaining IGNORE NULLS) OVER w AS l FROM (SELECT DISTINCT event_id, snapshot_date, seats_remaining FROM seat_inventory WHERE event_id IS NOT NULL AND snapshot_date IS NOT NULL) WINDOW w AS (PARTITION BY event_id ORDER BY snapshot_date, seats_remaining NULLS FIRST ROWS UNBOUNDED PRECEDING)")
+B.sql("minus_op", "SELECT l_partkey FROM lineitem WHERE l_quantity > 45 MINUS SELECT l_partkey FROM lineitem WHERE l_quantity < 5", "SELECT l_partkey FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 5")
+B.sql("minus_all", "SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 MINUS ALL SELECT l_suppkey FROM lineitem WHERE l_quantity < 5", "SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_quantity < 5")
+B.sql("limit_all", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal LIMIT ALL OFFSET 95", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal OFFSET 95")
+B.sql("with_cube", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size WITH CUBE", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_size)")
+B.sql("group_mixed_rollup", "SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY o_orderstatus, ROLLUP (o_orderpriority, year(o_orderdate))", "SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY o_orderstatus, ROLLUP (o_orderpriority, year(o_orderdate))")
+B.sql("group_by_alias", "SELECT l_partkey DIV 10 AS tens, count(*) AS n FROM lineitem GROUP BY tens", "SELECT (l_partkey // 10)::BIGINT AS tens, count(*) AS n FROM lineitem GROUP BY 1")
+B.sql("order_dependent_aggs", "SELECT p_brand, first(p_size) AS f, last(p_size) AS l, any_value(p_size) AS a, first_value(p_size) AS fv, last_value(p_size) AS lv, array_sort(array_agg(p_size)) AS g, some(p_size > 49) AS s, round(std(p_size), 6) AS sd, round(stddev_samp(p_size), 6) AS ss, round(var_samp(p_size), 6) AS vs FROM (SELECT p_brand, max(p_size) OVER (PARTITION BY p_brand) AS p_size FROM part UNION ALL SELECT p_brand, NULL FROM part WHERE 1 = 0) GROUP BY p_brand", "SELECT p_brand, max(m) AS f, max(m) AS l, max(m) AS a, max(m) AS fv, max(m) AS lv, list(m) AS g, bool_or(m > 49) AS s, 0.0::DOUBLE AS sd, 0.0::DOUBLE AS ss, 0.0::DOUBLE AS vs FROM (SELECT p_brand, max(p_size) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY p_brand")
+B.sql("samples_stats", "SELECT o_custkey, round(std(o_totalprice), 4) AS a, round(stddev_samp(o_totalprice), 4) AS b, round(var_samp(o_totalprice), 2) AS c FROM orders GROUP BY o_custkey HAVING count(*) > 1", "SELECT o_custkey, round(stddev_samp(o_totalprice), 4) AS a, round(stddev_samp(o_totalprice), 4) AS b, round(var_samp(o_totalprice), 2) AS c FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+B.sql("over_distribute_sort", "SELECT o_orderkey, CAST(row_number() OVER (DISTRIBUTE BY o_custkey SORT BY o_orderdate DESC, o_orderkey) AS BIGINT) AS rn, sum(DISTINCT year(o_orderdate)) OVER (DISTRIBUTE BY o_custkey) AS years FROM orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn, (sum(DISTINCT year(o_orderdate)) OVER (PARTITION BY o_custkey))::BIGINT AS years FROM orders")
+
+
+@B.df("as_of_join_op", "SELECT r.refund_id, r.order_id, r.refund_ts::DATE AS day, (SELECT max(p.payment_id) FROM payments p WHERE p.order_id = r.order_id AND p.paid_ts = (SELECT max(q.paid_ts) FROM payments q WHERE q.order_id = r.order_id AND q.paid_ts <= r.refund_ts)) AS payment_id FROM refunds r")
+def as_of_join_op(spark, d):
+    from tesseral.operators.temporal import as_of_join
+
+    paid = table(spark, d, "payments").select("order_id", F.col("paid_ts").alias("refund_ts"), "payment_id")
+    back = table(spark, d, "refunds").select("refund_id", "order_id", "refund_ts")
+    return as_of_join(back, paid, ["order_id"], "refund_ts", ["payment_id"]).select("refund_id", "order_id", F.to_date("refund_ts").alias("day"), "payment_id")
+
+
+@B.df("interval_join_op", "SELECT s_suppkey, count(*) AS n, min(o_orderkey) AS first FROM supplier JOIN orders ON o_orderkey BETWEEN s_suppkey * 90 AND s_suppkey * 90 + s_nationkey * 400 GROUP BY s_suppkey")
+def interval_join_op(spark, d):
+    from tesseral.operators.temporal import interval_join
+
+    spans = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 90).alias("low"), (F.col("s_suppkey") * 90 + F.col("s_nationkey") * 400).alias("high"))
+    pairs = interval_join(table(spark, d, "orders").select("o_orderkey"), spans, "o_orderkey", "low", "high")
+    return pairs.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+
+
 # --- the same in the DataFrame API, where it reads better
 @B.df("df_top_orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 def df_top_orders(spark, d):

@@ -60,7 +60,7 @@ B.sql(
 )
 B.sql(
     "date_arith",
-    "SELECT o_orderkey, date_add(o_orderdate, 10) AS a, date_sub(o_orderdate, 10) AS b, add_months(o_orderdate, 1) AS c, CAST(dateadd(DAY, 3, CAST(o_orderdate AS DATE)) AS DATE) AS d, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS e, CAST(o_orderdate AS DATE) + 5 AS f, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 WEEK AS DATE) AS g, date_format(o_orderdate + INTERVAL '2 hours' + INTERVAL 30 MINUTES, 'yyyy-MM-dd HH:mm') AS h, CAST(timestampadd(MONTH, 2, o_orderdate) AS DATE) AS i FROM orders",
+    "SELECT o_orderkey, date_add(o_orderdate, 10) AS a, date_sub(o_orderdate, 10) AS b, add_months(o_orderdate, 1) AS c, dateadd(DAY, 3, CAST(o_orderdate AS DATE)) AS d, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS e, CAST(o_orderdate AS DATE) + 5 AS f, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 WEEK AS DATE) AS g, date_format(o_orderdate + INTERVAL '2 hours' + INTERVAL 30 MINUTES, 'yyyy-MM-dd HH:mm') AS h, CAST(timestampadd(MONTH, 2, o_orderdate) AS DATE) AS i FROM orders",
     "SELECT o_orderkey, (o_orderdate::DATE + 10)::DATE AS a, (o_orderdate::DATE - 10)::DATE AS b, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS c, (o_orderdate::DATE + 3)::DATE AS d, (o_orderdate + INTERVAL 1 MONTH)::DATE AS e, (o_orderdate::DATE + 5)::DATE AS f, (o_orderdate::DATE - 7)::DATE AS g, strftime(o_orderdate + INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M') AS h, (o_orderdate + INTERVAL 2 MONTH)::DATE AS i FROM orders",
 )
 B.sql(
@@ -76,3 +76,6 @@ B.sql(
 )
 B.sql("interval_compare", "SELECT order_id FROM refunds WHERE refund_ts > TIMESTAMP'2026-06-30 00:00:00' - INTERVAL 30 DAYS", "SELECT order_id FROM refunds WHERE refund_ts > TIMESTAMP '2026-06-30' - INTERVAL 30 DAY")
 B.sql("as_of_clock", "SELECT current_date() AS a, curdate() AS b, date_format(current_timestamp(), 'yyyy-MM-dd HH:mm') AS c, date_format(now(), 'HH') AS d, current_date AS e", "SELECT DATE '2026-07-01' AS a, DATE '2026-07-01' AS b, '2026-07-01 12:00' AS c, '12' AS d, DATE '2026-07-01' AS e")
+B.sql("dateadd_types", "SELECT o_orderkey, typeof(dateadd(WEEK, 2, CAST(o_orderdate AS DATE))) AS a, dateadd(QUARTER, o_custkey % 3, CAST(o_orderdate AS DATE)) AS b, typeof(dateadd(HOUR, 1, o_orderdate)) LIKE 'timestamp%' AS c, dateadd(YEAR, -1, CAST(o_orderdate AS DATE)) AS d, CAST(dateadd(DAY, 1, o_orderdate) AS DATE) AS e FROM orders", "SELECT o_orderkey, 'date' AS a, (o_orderdate::DATE + to_months((o_custkey % 3)::INT * 3))::DATE AS b, true AS c, (o_orderdate::DATE - INTERVAL 1 YEAR)::DATE AS d, (o_orderdate + INTERVAL 1 DAY)::DATE AS e FROM orders")
+B.sql("length_contains_arrays", "SELECT o_custkey, length(keys) AS n, contains(keys, first) AS has, contains(keys, -1) AS hasnt, length(CAST(first AS STRING)) AS digits, contains(CAST(first AS STRING), '1') AS one FROM (SELECT o_custkey, collect_list(o_orderkey) AS keys, min(o_orderkey) AS first FROM orders GROUP BY o_custkey)", "SELECT o_custkey, count(*)::INT AS n, true AS has, false AS hasnt, length(min(o_orderkey)::VARCHAR)::INT AS digits, contains(min(o_orderkey)::VARCHAR, '1') AS one FROM orders GROUP BY o_custkey")
+B.sql("make_interval_op", "SELECT CAST(DATE'2026-01-31' + make_interval(0, 1, 0, 3) AS DATE) AS a, date_format(TIMESTAMP'2026-05-01 00:00:00' + make_interval(0, 0, 1, 1, 2, 3, 4), 'yyyy-MM-dd HH:mm:ss') AS b, CAST(DATE'2026-01-01' + make_ym_interval(1, 2) AS DATE) AS c", "SELECT (DATE '2026-01-31' + INTERVAL 1 MONTH + INTERVAL 3 DAY)::DATE AS a, '2026-05-09 02:03:04' AS b, DATE '2027-03-01' AS c")

@@ -62,15 +62,15 @@ B.sql(
 )
 B.sql("weekday_pattern", "SELECT date_format(order_ts, 'EEEE') AS weekday, weekday(order_ts) AS k, count(*) AS n FROM ticket_orders WHERE order_ts IS NOT NULL GROUP BY 1, 2", "SELECT dayname(order_ts) AS weekday, (isodow(order_ts) - 1)::INT AS k, count(*) AS n FROM ticket_orders WHERE order_ts IS NOT NULL GROUP BY 1, 2")
 B.sql("funnel", "WITH stages AS (SELECT * FROM (VALUES (1, 'view'), (2, 'click'), (3, 'purchase')) AS t(step, kind)), u AS (SELECT event_type AS kind, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT step, kind, coalesce(users, 0) AS users, round(try_divide(coalesce(users, 0), lag(coalesce(users, 0)) OVER (ORDER BY step)), 4) AS ratio FROM stages LEFT JOIN u USING (kind)", "WITH stages AS (SELECT * FROM (VALUES (1, 'view'), (2, 'click'), (3, 'purchase')) AS t(step, kind)), u AS (SELECT event_type AS kind, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT step, kind, coalesce(users, 0) AS users, round(coalesce(users, 0)::DOUBLE / nullif(lag(coalesce(users, 0)) OVER (ORDER BY step), 0), 4) AS ratio FROM stages LEFT JOIN u USING (kind)")
-B.sql("month_growth", "WITH m AS (SELECT date_format(o_orderdate, 'yyyy-MM') AS month, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders GROUP BY 1) SELECT month, CAST(s AS DOUBLE) AS s, round(CAST(s AS DOUBLE) / CAST(lag(s) OVER (ORDER BY month) AS DOUBLE) - 1, 6) AS growth FROM m", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders GROUP BY 1) SELECT month, CAST(s AS DOUBLE) AS s, round(CAST(s AS DOUBLE) / CAST(lag(s) OVER (ORDER BY month) AS DOUBLE) - 1, 6) AS growth FROM m")
+B.sql("month_growth", "SELECT q, CAST(pieces AS BIGINT) AS pieces, round(pieces / lag(pieces, 4) OVER (ORDER BY q), 6) AS on_year FROM (SELECT trunc(l_shipdate, 'QUARTER') AS q, sum(l_quantity) AS pieces FROM lineitem GROUP BY ALL)", "SELECT q, pieces::BIGINT AS pieces, round(pieces / lag(pieces, 4) OVER (ORDER BY q), 6) AS on_year FROM (SELECT date_trunc('quarter', l_shipdate)::DATE AS q, sum(l_quantity) AS pieces FROM lineitem GROUP BY 1)")
 B.sql("gap_between_rows", "SELECT o_custkey, round(avg(gap), 4) AS mean_gap FROM (SELECT o_custkey, datediff(o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS gap FROM orders) GROUP BY o_custkey HAVING count(gap) >= 3", "SELECT o_custkey, round(avg(gap), 4) AS mean_gap FROM (SELECT o_custkey, o_orderdate::DATE - (lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::DATE AS gap FROM orders) GROUP BY o_custkey HAVING count(gap) >= 3")
 B.sql("value_changes", "SELECT order_id, n FROM (SELECT order_id, count_if(quantity IS DISTINCT FROM before AND k > 1) AS n FROM (SELECT order_id, quantity, lag(quantity) OVER (PARTITION BY order_id ORDER BY line_no) AS before, row_number() OVER (PARTITION BY order_id ORDER BY line_no) AS k FROM (SELECT DISTINCT order_id, line_no, quantity FROM order_items)) GROUP BY order_id) WHERE n > 0", "SELECT order_id, n::BIGINT AS n FROM (SELECT order_id, count_if(quantity IS DISTINCT FROM before AND k > 1) AS n FROM (SELECT order_id, quantity, lag(quantity) OVER (PARTITION BY order_id ORDER BY line_no) AS before, row_number() OVER (PARTITION BY order_id ORDER BY line_no) AS k FROM (SELECT DISTINCT order_id, line_no, quantity FROM order_items)) GROUP BY order_id) WHERE n > 0")
 B.sql(
     "clean_contacts",
-    r"SELECT customer_id, initcap(regexp_replace(trim(full_name), '\\s+', ' ')) AS name, lower(trim(email)) AS email FROM customers WHERE lower(trim(email)) RLIKE '^[a-z0-9._+-]+@[a-z0-9.-]+$' QUALIFY row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY customer_id) = 1",
-    r"SELECT customer_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(full_name, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) AS email FROM customers WHERE regexp_full_match(lower(regexp_replace(email, '^\s+|\s+$', '', 'g')), '[a-z0-9._+-]+@[a-z0-9.-]+') QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) ORDER BY customer_id) = 1",
+    r"SELECT host, count(*) AS mails, count(DISTINCT box) AS boxes, count_if(NOT ok) AS bad FROM (SELECT split_part(lower(btrim(email)), '@', -1) AS host, split_part(lower(btrim(email)), '@', 1) AS box, lower(btrim(email)) RLIKE '^[^@\\s]+@[^@\\s]+[.][a-z]{2,}$' AS ok FROM customers WHERE email IS NOT NULL) GROUP BY host",
+    r"SELECT host, count(*) AS mails, count(DISTINCT box) AS boxes, count_if(NOT ok)::BIGINT AS bad FROM (SELECT split_part(e, '@', -1) AS host, split_part(e, '@', 1) AS box, regexp_matches(e, '^[^@\s]+@[^@\s]+[.][a-z]{2,}$') AS ok FROM (SELECT lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) AS e FROM customers WHERE email IS NOT NULL)) GROUP BY host",
 )
-B.sql("parse_dates", "SELECT s, coalesce(CASE WHEN s RLIKE '^\\\\d{4}-\\\\d{2}-\\\\d{2}$' THEN TRY_CAST(s AS DATE) END, CAST(try_to_timestamp(s, 'dd/MM/yyyy') AS DATE), CAST(try_to_timestamp(s, 'MMM d, yyyy') AS DATE)) AS d FROM VALUES ('2026-01-05'), ('06/02/2026'), ('Mar 7, 2026'), ('2026-02-30'), ('x'), (NULL) AS t(s)", "SELECT * FROM (VALUES ('2026-01-05', DATE '2026-01-05'), ('06/02/2026', DATE '2026-02-06'), ('Mar 7, 2026', DATE '2026-03-07'), ('2026-02-30', NULL), ('x', NULL), (NULL, NULL)) AS t(s, d)")
+B.sql("parse_dates", "SELECT doc_id, CAST(coalesce(try_to_timestamp(said, 'yyyyMMdd'), try_to_timestamp(said, 'dd.MM.yyyy'), try_to_timestamp(regexp_extract(said, '[A-Z][a-z]{2} (.*)', 1), 'd MMM yyyy')) AS DATE) AS day FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN date_format(created_ts, 'yyyyMMdd') WHEN 1 THEN date_format(created_ts, 'dd.MM.yyyy') WHEN 2 THEN date_format(created_ts, 'EEE d MMM yyyy') ELSE concat('week ', doc_id) END AS said FROM documents)", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN created_ts::DATE END AS day FROM documents")
 B.sql("referral_timing", "SELECT a.customer_id, b.customer_id AS referrer FROM (SELECT DISTINCT customer_id, referred_by, signup_date FROM customers) a JOIN (SELECT DISTINCT customer_id, signup_date FROM customers) b ON a.referred_by = b.customer_id AND a.signup_date < b.signup_date")
 B.sql("net_amounts", "WITH p AS (SELECT order_id, amount FROM payments WHERE order_id IS NOT NULL AND amount IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id, round(amount, 2) ORDER BY payment_id) = 1), a AS (SELECT order_id, sum(CAST(round(amount, 2) AS DECIMAL(18,2))) AS paid FROM p GROUP BY 1), r AS (SELECT order_id, sum(CAST(round(amount, 2) AS DECIMAL(18,2))) AS back FROM (SELECT DISTINCT refund_id, order_id, amount FROM refunds WHERE order_id IS NOT NULL) GROUP BY 1) SELECT coalesce(a.order_id, r.order_id) AS order_id, CAST(coalesce(paid, 0) - coalesce(back, 0) AS DOUBLE) AS net FROM a FULL OUTER JOIN r ON a.order_id = r.order_id")
 B.sql("kpi_capstone", "WITH i AS (SELECT order_id, sum(quantity) AS q FROM (SELECT DISTINCT order_id, line_no, quantity FROM order_items) GROUP BY 1), o AS (SELECT order_id, max(status) AS status, min(order_ts) AS ts, min(channel) AS channel FROM ticket_orders GROUP BY 1) SELECT date_format(ts, 'yyyy-MM') AS month, count(*) AS orders, count_if(status = 'PAID') AS paid, sum(q) FILTER (WHERE status = 'PAID') AS tickets, round(avg(q), 4) AS mean_q FROM o LEFT JOIN i USING (order_id) WHERE ts IS NOT NULL GROUP BY 1", "WITH i AS (SELECT order_id, sum(quantity) AS q FROM (SELECT DISTINCT order_id, line_no, quantity FROM order_items) GROUP BY 1), o AS (SELECT order_id, max(status) AS status, min(order_ts) AS ts, min(channel) AS channel FROM ticket_orders GROUP BY 1) SELECT strftime(ts, '%Y-%m') AS month, count(*) AS orders, count_if(status = 'PAID')::BIGINT AS paid, (sum(q) FILTER (WHERE status = 'PAID'))::BIGINT AS tickets, round(avg(q), 4) AS mean_q FROM o LEFT JOIN i USING (order_id) WHERE ts IS NOT NULL GROUP BY 1")
