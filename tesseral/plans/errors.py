@@ -16,6 +16,9 @@ _BY_CONDITION = {
     "INVALID_EXTRACT_FIELD": "INVALID_PARAMETER_VALUE.DATETIME_UNIT",
     "NUMERIC_VALUE_OUT_OF_RANGE.WITH_SUGGESTION": "NUMERIC_VALUE_OUT_OF_RANGE",
     "UNSUPPORTED_GENERATOR.NESTED_IN_EXPRESSIONS": "UNSUPPORTED_GENERATOR.NOT_GENERATOR",
+    "UNSUPPORTED_GENERATOR.NOT_GENERATOR": "UNSUPPORTED_GENERATOR",
+    "UNSUPPORTED_GENERATOR.OUTSIDE_SELECT": "UNSUPPORTED_GENERATOR",
+    "INVALID_LAMBDA_FUNCTION_CALL.NON_HIGHER_ORDER_FUNCTION": "INVALID_LAMBDA_FUNCTION_CALL",
     "_LEGACY_ERROR_TEMP_1037": "MISSING_ORDER_BY_FOR_WINDOW",
     "_LEGACY_ERROR_TEMP_1034": "UNSUPPORTED_EXPR_FOR_WINDOW",
 }
@@ -51,6 +54,8 @@ def condition_of(error: BaseException) -> str:
         return _BY_CONDITION[name]
     if name is None or name.startswith(("_LEGACY", "INTERNAL_ERROR")):
         return next((c for rx, c in _BY_MESSAGE if re.search(rx, message)), name or "INTERNAL_ERROR")
+    if name == "INVALID_TYPED_LITERAL" and "INTERVAL" in message:
+        return "INVALID_INTERVAL_FORMAT"
     if name == "PARSE_SYNTAX_ERROR" and re.search(r"INTERVAL\s", message, re.I) and "interval" in message.lower():
         return "INVALID_INTERVAL_FORMAT"
     return name

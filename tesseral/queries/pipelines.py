@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 from tesseral.queries.base import Book, used_tables
-from tesseral.session import Engine, scratch
+from tesseral.session import Engine, own_session, scratch
 from tesseral.sources.readers import table
 
 B = Book()
 QUERIES, ORACLE = B.queries, B.oracle
 
 
-def _own_session(spark):
-    """A session with the same settings whose views nobody else sees."""
-    own = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if own.conf.isModifiable(k):
-            own.conf.set(k, v)
-    return own
-
-
 def script(name: str, dialect: str, oracle: str) -> None:
     """Register a script that ends with a query; its tables live in a folder of their own beside the checkpoints."""
 
     def run(spark, d):
-        spark = _own_session(spark)
+        spark = own_session(spark)
         for t in used_tables(dialect):
             table(spark, d, t).createOrReplaceTempView(t)
         return Engine(spark, store=scratch(spark, "tables")).sql(dialect)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesseral.operators import patterns
 from tesseral.queries.base import Book
+from tesseral.session import scratch
 from tesseral.sources.readers import table
 
 B = Book()
@@ -95,22 +96,49 @@ def stream_first_seen(spark, d):
     return _drained(first_seen(_stream(spark, d, "events"), "ts", ["user_id", "event_type"], "100000 days").select("user_id", "event_type"), "append")
 
 
-def _stream(spark, d, name):
-    import os
+@B.df("stream_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM y GROUP BY user_id, s")
+def stream_sessions(spark, d):
+    from tesseral.streaming.pipelines import session_counts
+
+    out = _drained(session_counts(_stream(spark, d, "events"), "ts", "user_id", "6 hours", "100000 days"), "complete")
+    return out.select("user_id", *[F.date_format(f"session_{a}", "yyyy-MM-dd HH:mm:ss").alias(b) for a, b in (("start", "started"), ("end", "ended"))], "n")
+
 
-    rows = spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(*[f"{d}/{name}.parquet" if os.path.isdir(f"{d}/{name}.parquet") else f"{d}/{name}.parque[t]"])
+@B.df("stream_late_rows", "WITH mark AS (SELECT max(ts) - INTERVAL 5 DAY AS m FROM events WHERE event_id % 4 <> 0) SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, mark WHERE event_id % 4 <> 0 OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > m GROUP BY 1, 2")
+def stream_late_rows(spark, d):
+    """A quarter of the events comes in a second batch; those whose window closed 5 days before the first batch's last event are too late.
+
+    The windows that each batch changes are merged into a stored table.
+    """
+    from tesseral.sources.versioned import Store
+    from tesseral.streaming.pipelines import upsert_batches, windowed_counts
+
+    folder = scratch(spark, "stream")
+    late = F.col("event_id") % 4 == 0
+    for part, rows in enumerate((~late, late)):
+        table(spark, d, "events").where(rows).coalesce(1).write.mode("append").parquet(f"{folder}/in/{part}")
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    counts = windowed_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day", late="5 days")
+    store = Store(spark, f"{folder}/tables")
+    store.write("days", None, counts.schema)
+    run = upsert_batches(spark, store, "days", ["window_start", "event_type"], [F.desc("n")])
+    q = counts.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store.read("days").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def _stream(spark, d, name):
+    path = f"{d}/{name}.parquet"
+    # a stream reads folders; a single file is named by a pattern
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).isDirectory()
+    rows = spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(path if folder else path[:-1] + "[t]")
     # event time must carry a zone; the session's is UTC
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drained(out, mode):
-    import uuid
-
-    from tesseral.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(out.sparkSession)
-    base = out.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = scratch(out.sparkSession, "stream")
     if mode == "append":
         q = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     else:

@@ -32,6 +32,15 @@ def get_session(app: str = "tesseral", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings whose views nobody else sees."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a temporary one only where none is set, as in tests."""
     sc = spark.sparkContext

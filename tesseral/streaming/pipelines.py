@@ -38,7 +38,8 @@ def upsert_batches(spark: SparkSession, store: Store, name: str, keys: list[str]
     on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
 
     def run(batch: DataFrame, _: int) -> None:
-        merge_into(store, name, latest_per_key(batch, keys, order), on, [When("matched", "update", None, "*"), When("insert", "insert", None, "*")])
+        # a micro-batch has a session of its own
+        merge_into(Store(batch.sparkSession, store.folder), name, latest_per_key(batch, keys, order), on, [When("matched", "update", None, "*"), When("insert", "insert", None, "*")])
 
     return run
 
