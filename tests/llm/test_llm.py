@@ -39,8 +39,20 @@ def test_round_trip_and_counts(spark, docs):
 
 
 def test_no_character_is_lost(spark, docs):
-    for r in tokens.with_words(docs.drop("words")).select("text", "words").collect():
-        assert r["text"] is None and r["words"] is None or "".join(r["words"]) == r["text"]
+    got = tokens.split(docs).collect()
+    word = {(r["chunk"], r["code"]): r["word"] for r in got if r["word"] is not None}
+    assert {r["doc_id"]: "".join(word[r["chunk"], c] for c in r["codes"] or []) for r in got if r["word"] is None} == {i: t or "" for i, t in TEXTS}
+
+
+def test_small_chunks(spark, docs):
+    enc = tokens.encoder(tokens.TOKENIZERS)
+    got = tokens.encode(docs.unionByName(docs.where("doc_id = 1")), chunk_words=7).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: enc.encode_ordinary(t or "") for i, t in TEXTS} and len(got) == len(TEXTS)
+
+
+def test_repeated_rows_count_once(spark, docs):
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id is null"))
+    assert rows(tokens.count_tokens(twice)) == rows(tokens.count_tokens(docs))
 
 
 # --- packing
