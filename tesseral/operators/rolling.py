@@ -7,77 +7,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _sums(entries: str, places: Column, test) -> Column:
-    """For each place the sum of a block's entries (off, v) that ``test`` takes; a block seldom has many entries."""
+def _scan(entries: str, backwards: bool) -> Column:
+    """Running sums of a block's entries (off, v), as (off, s) in the order of off: heads of the block, or ``backwards`` its tails."""
+    way = F.reverse(entries) if backwards else F.col(entries)
+    none = F.array().cast("array<struct<off:int,s:bigint>>")
     zero = F.lit(0).cast("long")
-    return F.transform(places, lambda i: F.aggregate(entries, zero, lambda a, x: a + F.when(test(x["off"], i), x["v"]).otherwise(zero)))
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["off"].alias("off"), (x["v"] + F.coalesce(F.try_element_at(acc, F.lit(-1))["s"], zero)).alias("s"))))
+    sums = F.aggregate(way, none, step)
+    return F.reverse(sums) if backwards else sums
 
 
-def trailing_blocks(daily: DataFrame, n: int, last_day: Column, empty: bool = True) -> DataFrame:
-    """(entity, first_day, block, t): t[i] is the trailing ``n``-day total of day ``block * n + i``; t_before that of the day before the block.
+def trailing_totals(daily: DataFrame, n: int) -> DataFrame:
+    """(entity, d, v, t, t_out): for each row of ``daily`` the trailing ``n``-day total t of its day, and t_out that of day d + n, when it has left the window.
 
-    ``daily`` holds (entity, d, v): at most one row per entity and day, d the day's number, v a long. A day's window is
-    the tail of one block (a suffix sum) and the head of the next (a prefix sum), so nothing is ever subtracted and an
-    empty window is exactly 0. Only blocks with rows are shuffled; the empty ones up to ``last_day`` are made in place,
-    or with ``empty`` false only as far as a total above 0 reaches into them: in all others every total is 0.
+    ``daily`` holds (entity, d, v): at most one row per entity and day, d the day's number, v a long that isn't negative.
+    Days are cut into blocks of ``n``. A window is the tail of one block (a suffix sum) and the head of the next (a prefix
+    sum), each from one scan of the block's entries, so nothing is subtracted and an empty window is exactly 0. Totals
+    rise only on days with a row and fall only n days after one, so these days tell all that ``peak_days`` and
+    ``falls_to_zero`` look for, and days without rows are never made. One row per block is shuffled by entity.
     """
-    size, off = F.lit(n), F.pmod(F.col("d"), F.lit(n)).cast("int")
+    size = F.lit(n)
     blocks = daily.groupBy("entity", F.floor(F.col("d") / n).cast("int").alias("block")).agg(
-        F.min("d").alias("_first"), F.collect_list(F.struct(off.alias("off"), F.col("v"))).alias("_e")
+        F.sort_array(F.collect_list(F.struct(F.pmod(F.col("d"), size).cast("int").alias("off"), F.col("v").cast("long").alias("v")))).alias("_e")
     )
-    pre = _sums("_e", F.sequence(F.lit(0), size - 1), lambda off, i: off <= i)
-    suf = _sums("_e", F.sequence(F.lit(0), size), lambda off, i: off >= i)
     w = W.partitionBy("entity").orderBy("block")
-    rows = blocks.select("entity", "block", "_first", pre.alias("pre"), suf.alias("suf")).select(
+    rows = blocks.select("entity", "block", "_e", _scan("_e", False).alias("_head"), _scan("_e", True).alias("_tail")).select(
         "*",
-        F.min("_first").over(W.partitionBy("entity")).alias("first_day"),
-        F.when(F.lag("block").over(w) == F.col("block") - 1, F.lag("suf").over(w)).alias("_prior"),
-        F.coalesce(F.lead("block").over(w) - 1, F.floor(last_day / n).cast("int")).alias("_until"),
-    )
-    none = F.array_repeat(F.lit(0).cast("long"), n + 1)
-    more = F.greatest(F.col("_until") - F.col("block"), F.lit(0))
-    more = more if empty else F.least(more, F.lit(1))
-    rows = rows.select("entity", "first_day", "block", "pre", "suf", F.coalesce("_prior", none).alias("prior"), F.explode(F.sequence(F.lit(0), more)).alias("j"))
-    before = F.when(F.col("j") == 0, F.col("prior")).when(F.col("j") == 1, F.col("suf")).otherwise(none)
-    own = F.when(F.col("j") == 0, F.col("pre")).otherwise(none)
-    return rows.select("entity", "first_day", (F.col("block") + F.col("j")).alias("block"), before.alias("b"), own.alias("o")).select(
-        "entity",
-        "first_day",
-        "block",
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get("o", i) + F.get("b", i + 1)).alias("t"),
-        F.get("b", F.lit(0)).alias("t_before"),
+        F.when(F.lag("block").over(w) == F.col("block") - 1, F.lag("_tail").over(w)).alias("_before"),
+        F.when(F.lead("block").over(w) == F.col("block") + 1, F.lead("_head").over(w)).alias("_after"),
     )
+    zero = F.lit(0).cast("long")
 
+    def day(x: Column, i: Column) -> Column:
+        # the window of its own day: the tail of the block before, after the same place, and the head of its block up to it
+        t = F.get("_head", i)["s"] + F.coalesce(F.get(F.filter("_before", lambda y: y["off"] > x["off"]), F.lit(0))["s"], zero)
+        # the window n days on: the tail of its block after it, and the head of the next one up to the same place
+        out = F.coalesce(F.get("_tail", i + 1)["s"], zero) + F.coalesce(F.try_element_at(F.filter("_after", lambda y: y["off"] <= x["off"]), F.lit(-1))["s"], zero)
+        return F.struct((F.col("block") * size + x["off"]).cast("int").alias("d"), x["v"].alias("v"), t.alias("t"), out.alias("t_out"))
 
-def trailing_days(daily: DataFrame, n: int, last_day: Column, name: str) -> DataFrame:
-    """The blocks of ``trailing_blocks`` as rows (entity, d, <name>, <name>_before), from the entity's first day to ``last_day``."""
-    blocks = trailing_blocks(daily, n, last_day)
-    start = F.greatest(F.col("first_day") - F.col("block") * n, F.lit(0))
-    stop = F.least(last_day - F.col("block") * n, F.lit(n - 1))
-    before = F.concat(F.array("t_before"), F.slice("t", 1, n - 1))
-    rows = blocks.where(start <= stop).select(
-        "entity", (F.col("block") * n + start).alias("_d0"), F.inline(F.slice(F.arrays_zip(F.col("t").alias(name), before.alias(f"{name}_before"), F.sequence(F.lit(0), F.lit(n - 1)).alias("_i")), (start + 1).cast("int"), (stop - start + 1).cast("int")))
-    )
-    first = F.pmod(F.col("_d0"), F.lit(n))
-    return rows.select("entity", (F.col("_d0") - first + F.col("_i")).cast("int").alias("d"), name, f"{name}_before")
+    return rows.select("entity", F.inline(F.transform("_e", day)))
 
 
-def peak_days(blocks: DataFrame, n: int, last_day: Column) -> DataFrame:
-    """(entity, d): the earliest day on which the trailing total is highest, where that is above 0; from ``trailing_blocks``.
+def peak_days(totals: DataFrame, last_day: Column) -> DataFrame:
+    """(entity, d): the earliest day through ``last_day`` on which the trailing total is highest, where that is above 0; from ``trailing_totals``."""
+    best = totals.where((F.col("t") > 0) & (F.col("d") <= last_day)).groupBy("entity").agg(F.max(F.struct("t", (-F.col("d")).alias("nd"))).alias("m"))
+    return best.select("entity", (-F.col("m.nd")).cast("int").alias("d"))
 
-    The best day of each block is found inside its row, so only one candidate per block is compared across rows.
-    """
-    days = F.transform("t", lambda t, i: F.struct(t.alias("t"), (-(F.col("block") * n + i)).alias("nd")))
-    best = F.array_max(F.filter(days, lambda x: (x["t"] > 0) & (-x["nd"] <= last_day)))
-    return blocks.select("entity", best.alias("b")).where("b is not null").groupBy("entity").agg(F.max("b").alias("m")).select("entity", (-F.col("m.nd")).cast("int").alias("d"))
 
+def falls_to_zero(totals: DataFrame, n: int, last_day: Column) -> DataFrame:
+    """(entity, d): the days through ``last_day`` with a total of 0 after one above 0 the day before; from ``trailing_totals``.
 
-def falls_to_zero(blocks: DataFrame, n: int, last_day: Column) -> DataFrame:
-    """(entity, d): the days through ``last_day`` with a total of 0 after one above 0 the day before; from ``trailing_blocks``."""
-    before = F.concat(F.array("t_before"), F.slice("t", 1, n - 1))
-    days = F.transform(F.arrays_zip(F.col("t").alias("t"), before.alias("b")), lambda x, i: F.struct(x["t"].alias("t"), x["b"].alias("b"), (F.col("block") * n + i).cast("int").alias("d")))
-    hits = F.filter(days, lambda x: (x["t"] == 0) & (x["b"] > 0) & (x["d"] <= last_day))
-    return blocks.select("entity", F.explode(hits).alias("h")).select("entity", "h.d")
+    Such a day is n days after a day of some worth that no other follows within the window.
+    """
+    gone = totals.where((F.col("v") > 0) & (F.col("t_out") == 0)).select("entity", (F.col("d") + n).alias("d"))
+    return gone.where(F.col("d") <= last_day)
 
 
 def daily_spending(orders: DataFrame, items: DataFrame) -> DataFrame:

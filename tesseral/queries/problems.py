@@ -97,15 +97,15 @@ def p5_rolling(spark, d):
 
 def p5_found(spark, d):
     daily, last = _daily(spark, d).where(F.col("d") <= _last_day()), _last_day()
-    peaks = rolling.peak_days(rolling.trailing_blocks(daily, 7, last, empty=False), 7, last).select("entity", F.lit("peak_7").alias("kind"), "d")
-    quiet = rolling.falls_to_zero(rolling.trailing_blocks(daily, 30, last, empty=False), 30, last).select("entity", F.lit("quiet_30").alias("kind"), "d")
+    peaks = rolling.peak_days(rolling.trailing_totals(daily, 7), last).select("entity", F.lit("peak_7").alias("kind"), "d")
+    quiet = rolling.falls_to_zero(rolling.trailing_totals(daily, 30), 30, last).select("entity", F.lit("quiet_30").alias("kind"), "d")
     return peaks.unionByName(quiet).select(F.col("entity").alias("customer_id"), "kind", F.date_format(F.date_from_unix_date("d"), _DAY).alias("day"))
 
 
 def p6_found(spark, d):
     people = table(spark, d, "customers")
     referred = people.where("referred_by is not null and customer_id is not null").select("customer_id").distinct()
-    found = hierarchy.resolve(people, "customer_id", "referred_by").select(F.col("id").alias("customer_id"), "root_id")
+    found = hierarchy.roots(people, "customer_id", "referred_by").select(F.col("id").alias("customer_id"), "root_id")
     return found.join(referred, "customer_id", "left_semi")
 
 

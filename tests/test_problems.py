@@ -179,14 +179,19 @@ def test_trailing_totals(spark, n):
     rng = random.Random(n)
     data = {(e, rng.randrange(100, 180)): rng.choice([0, 0, 5, 17]) for e in (1, 2, 3) for _ in range(12)}
     df = spark.createDataFrame([(e, d, v) for (e, d), v in data.items()], "entity int, d int, v long")
-    got = {(r["entity"], r["d"]): (r["t"], r["t_before"]) for r in rolling.trailing_days(df.where("d <= 170"), n, F.lit(170), "t").collect()}
-    want = {}
     total = lambda e, d: sum(data.get((e, x), 0) for x in range(d - n + 1, d + 1))
+    totals = rolling.trailing_totals(df, n)
+    assert {(r["entity"], r["d"]): (r["v"], r["t"], r["t_out"]) for r in totals.collect()} == {(e, d): (v, total(e, d), total(e, d + n)) for (e, d), v in data.items()}
+    peaks, falls = set(), set()
     for e in (1, 2, 3):
-        days = [d for x, d in data if x == e and d <= 170]
-        for d in range(min(days), 171):
-            want[e, d] = (total(e, d), total(e, d - 1))
-    assert got == want
+        days = range(min(d for x, d in data if x == e), 171)
+        top = max(total(e, d) for d in days)
+        peaks |= {(e, next(d for d in days if total(e, d) == top))} if top else set()
+        falls |= {(e, d) for d in days if total(e, d) == 0 and total(e, d - 1) > 0}
+    rest = rolling.trailing_totals(df.where("d <= 170"), n)
+    assert set(map(tuple, rolling.peak_days(rest, F.lit(170)).collect())) == peaks
+    assert sorted(map(tuple, rolling.falls_to_zero(rest, n, F.lit(170)).collect())) == sorted(falls)
+    assert rolling.trailing_totals(df.limit(0), n).count() == 0
 
 
 def test_all_windows_at_once(spark):
@@ -232,6 +237,8 @@ def test_hierarchy(spark, one_in):
     want = _brute_roots(parent)
     got = {r["id"]: r["up_path"] for r in hierarchy.resolve(df, "customer_id", "referred_by", one_in).collect()}
     assert got == want
+    roots = hierarchy.roots(df, "customer_id", "referred_by", one_in)
+    assert roots.columns == ["id", "root_id"] and {r["id"]: r["root_id"] for r in roots.collect()} == {k: v[-1] for k, v in got.items()}
     full = {r["id"]: r for r in hierarchy.hierarchy(df, "customer_id", "referred_by", one_in).collect()}
     for n, r in full.items():
         assert r["path"] == want[n][::-1] and r["depth"] == len(want[n]) - 1 and r["root_id"] == want[n][-1]
