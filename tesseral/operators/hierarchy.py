@@ -27,13 +27,23 @@ def _ahead(state: DataFrame) -> DataFrame:
     return state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("path").alias("_path"), F.col("done").alias("_done"))
 
 
-def _double(moving: DataFrame, state: DataFrame) -> DataFrame:
-    """Append to each walk the walk of the node it has come to; a node met again is not named again."""
-    path = F.array_distinct(F.concat("path", "_path"))
+def _whole(path: str, then: str) -> Column:
+    """One way after another; a node met again is not named again."""
+    return F.array_distinct(F.concat(path, then))
+
+
+def _end(path: str, then: str) -> Column:
+    """Of one way after another only the last node, for walks that ask for nothing else."""
+    return F.when(F.size(then) > 0, F.col(then)).otherwise(F.col(path))
+
+
+def _double(moving: DataFrame, state: DataFrame, both=_whole) -> DataFrame:
+    """Append to each walk the walk of the node it has come to."""
+    path = both("path", "_path")
     return moving.join(_ahead(state), "to").select("id", F.col("_to").alias("to"), path.alias("path"), F.col("_done").alias("done"), F.size("path").alias("_n"))
 
 
-def _walk(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _walk(state: DataFrame, both=_whole) -> tuple[DataFrame, DataFrame]:
     """Double the walks in ``state`` (id, to, path, done) until all are done or none gets further: (done, rest).
 
     path lists the nodes after id up to ``to``, each once. A walk that is done has reached its end. Finished walks are
@@ -43,7 +53,7 @@ def _walk(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     done, moving = state.where("done"), state.where("not done")
     left = moving.count()
     while left:
-        moved = cut_lineage(_double(moving, done.unionByName(moving)).drop("_n"))
+        moved = cut_lineage(_double(moving, done.unionByName(moving), both).drop("_n"))
         done, moving, before = done.unionByName(moved.where("done")), moved.where("not done"), left
         left = moving.count()
         if left == before:
@@ -118,6 +128,33 @@ def resolve(df: DataFrame, node: str, parent: str, one_in: int = SPLITTER_ONE_IN
     return out.select("id", "root_id", F.concat(F.array("id"), "path").alias("up_path"))
 
 
+def roots(df: DataFrame, node: str, parent: str, one_in: int = SPLITTER_ONE_IN) -> DataFrame:
+    """(id, root_id): the roots that ``resolve`` gives, by walks that carry their last node alone.
+
+    So a chain costs its nodes times the rounds, not times its length. Only for nodes that lead into loops, whose root
+    depends on all nodes of the loop, are the ways themselves walked, apart from all others.
+    """
+    links = cut_lineage(_links(df, node, parent))
+    end, nothing = F.col("up").isNull(), F.slice(F.array("id"), 1, 0)
+    first = links.select(
+        "id", F.coalesce("up", "id").alias("to"), F.when(end, nothing).otherwise(F.array("up")).alias("path"), (end | is_splitter(F.coalesce("up", "id"), one_in)).alias("done")
+    )
+    done, rest = _walk(cut_lineage(first), _end)
+    splitter = is_splitter(F.col("id"), one_in)
+    ended = ~is_splitter(F.col("to"), one_in) | (F.size("path") == 0)
+    # a splitter that leads into a loop without one leads nowhere here
+    reduced = done.where(splitter).select("id", "to", "path", ended.alias("done")).unionByName(rest.where(splitter).select("id", F.lit(None).cast(links.schema["id"].dataType).alias("to"), "path", F.lit(True).alias("done")))
+    solved, circling = _walk(cut_lineage(reduced), _end)
+    ways = cut_lineage(solved.select(F.col("id").alias("to"), F.col("to").alias("_root")).unionByName(circling.select(F.col("id").alias("to"), F.lit(None).cast(links.schema["id"].dataType).alias("_root"))))
+    found = done.where(~splitter).join(ways.withColumn("_met", F.lit(True)), "to", "left").select("id", F.when(F.col("_met"), F.col("_root")).otherwise(F.col("to")).alias("root_id"))
+    found = cut_lineage(found.unionByName(ways.select(F.col("to").alias("id"), F.col("_root").alias("root_id"))))
+    ending = found.where("root_id is not null")
+    endless = links.join(ending.select("id"), "id", "left_anti")
+    if not endless.limit(1).count():
+        return ending
+    return ending.unionByName(resolve(endless, "id", "up", one_in).select("id", "root_id"))
+
+
 def hierarchy(df: DataFrame, node: str, parent: str, one_in: int = SPLITTER_ONE_IN) -> DataFrame:
     """(id, root_id, depth, path, in_loop, n_descendants): path from root to node as a list; depth counts its links.
 
