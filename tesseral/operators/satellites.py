@@ -61,9 +61,13 @@ def append(satellite: DataFrame | None, earlier: DataFrame | None, batch: DataFr
     added where the hash-diff differs from that of the statement before it and the satellite lacks it. That may be a row
     of ``earlier`` that only restated its predecessor until a late row of the batch came between them. Stored rows are
     never changed; what a late row makes redundant is passed over by ``history``. Statements of one key and time are
-    taken in the order of their attributes. ``satellite`` and ``earlier`` may be None.
+    taken in the order of their attributes. Keys that the batch lacks are neither sorted nor shuffled again. ``satellite`` and ``earlier`` may be None.
     """
-    rows = batch if earlier is None else batch.unionByName(earlier).distinct()
+    if earlier is None:
+        rows = batch
+    else:
+        # only keys that the batch speaks of can change
+        rows = batch.unionByName(earlier.join(batch.select(key).distinct(), key, "left_semi").select(*batch.columns)).distinct()
     w = W.partitionBy(key).orderBy(time, *attributes)
     changed = rows.withColumn("_changed", ~F.lag("hash_diff").over(w).eqNullSafe(F.col("hash_diff"))).where("_changed").drop("_changed")
     return changed if satellite is None else changed.join(satellite, [key, time, "hash_diff"], "left_anti").select(*changed.columns)
@@ -74,3 +78,42 @@ def history(satellite: DataFrame, key: str, time: str, attributes: list[str], en
     w = W.partitionBy(key).orderBy(time, *attributes)
     versions = satellite.withColumn("_new", ~F.lag("hash_diff").over(w).eqNullSafe(F.col("hash_diff"))).where("_new")
     return versions.select(key, *attributes, time, F.lead(time).over(w).alias(end))
+
+
+def load(batches: list[DataFrame], key: str, time: str, attributes: list[str], bounds: tuple[float, ...] = (0.05, 0.5)) -> dict[str, tuple[list[str], DataFrame]]:
+    """Satellites by name, each with its attributes: attributes of like change rate, measured on the first batch, share one.
+
+    The batches are appended in their order. With one attribute there is one satellite, whatever its rate.
+    """
+    groups = split_by_rate(change_rates(batches[0], key, time, attributes), bounds)
+    out = {}
+    for name, group in groups.items():
+        stored, earlier = None, None
+        for batch in batches:
+            new = tracked(batch, key, time, group)
+            more = append(stored, earlier, new, key, time, group)
+            stored = more if stored is None else stored.unionByName(more)
+            earlier = new if earlier is None else earlier.unionByName(new)
+        out[name] = (group, stored)
+    return out
+
+
+def joined_history(satellites: dict[str, tuple[list[str], DataFrame]], key: str, time: str, end: str = "valid_to") -> DataFrame:
+    """The lead-based view over all satellites: a version begins where any of them has a new row, the others keep their values.
+
+    Of several rows of a satellite at one key and time the last in the order of its attributes holds.
+    """
+    if len(satellites) == 1:
+        ((group, stored),) = satellites.values()
+        return history(stored, key, time, group, end)
+    parts = []
+    for name, (group, stored) in satellites.items():
+        rows = history(stored, key, time, group, end).groupBy(key, time).agg(F.max(F.struct(*group)).alias(f"_{name}"))
+        parts.append(rows)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    once = every.groupBy(key, time).agg(*[F.max(f"_{n}").alias(f"_{n}") for n in satellites])
+    w = W.partitionBy(key).orderBy(time)
+    held = once.select(key, time, *[F.last(f"_{n}", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"_{n}") for n in satellites], F.lead(time).over(w).alias(end))
+    return held.select(key, *[F.col(f"_{n}.{a}").alias(a) for n, (group, _) in satellites.items() for a in group], time, end)

@@ -43,12 +43,8 @@ def _statements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _history(spark, d):
-    base, updates = _statements(spark, d)
-    args = ("customer_id", "valid_from", ["city"])
-    base, updates = satellites.tracked(base, *args), satellites.tracked(updates, *args)
-    stored = satellites.append(None, None, base, *args)
-    stored = stored.unionByName(satellites.append(stored, base, updates, *args))
-    return satellites.history(stored, *args)
+    stored = satellites.load(list(_statements(spark, d)), "customer_id", "valid_from", ["city"])
+    return satellites.joined_history(stored, "customer_id", "valid_from")
 
 
 def p3_history(spark, d):
@@ -163,6 +159,22 @@ FROM child LEFT JOIN parent ON child.order_id = parent.order_id WHERE child.orde
     "p4_found": """WITH r AS (SELECT DISTINCT event_id, snapshot_date AS day FROM seat_inventory WHERE event_id IS NOT NULL AND snapshot_date IS NOT NULL AND seats_remaining >= 0),
 c AS (SELECT event_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM r GROUP BY event_id)
 SELECT event_id, strftime(day, '%Y-%m-%d') AS missing_day FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.event_id = c.event_id AND r.day = c.day)""",
+    "p3_change_rates": """WITH s AS (SELECT DISTINCT customer_id, valid_from, city, valid_to, is_current FROM dim_customer_city WHERE customer_id IS NOT NULL AND valid_from IS NOT NULL),
+f AS (SELECT row_number() OVER w AS k, city IS DISTINCT FROM lag(city) OVER w AS a, valid_to IS DISTINCT FROM lag(valid_to) OVER w AS b, is_current IS DISTINCT FROM lag(is_current) OVER w AS c FROM s
+  WINDOW w AS (PARTITION BY customer_id ORDER BY valid_from NULLS FIRST, city NULLS FIRST, valid_to NULLS FIRST, is_current NULLS FIRST))
+SELECT unnest(['city', 'valid_to', 'is_current']) AS attribute, unnest([avg(a::INT), avg(b::INT), avg(c::INT)]) AS rate FROM f WHERE k > 1""",
+    "p4_grid": """WITH p AS (SELECT event_id, snapshot_date AS x, min(seats_remaining)::DOUBLE AS y FROM seat_inventory WHERE event_id IS NOT NULL AND snapshot_date IS NOT NULL AND seats_remaining >= 0 GROUP BY ALL),
+s AS (SELECT *, (lead(x) OVER w - x)::DOUBLE AS h, lead(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY event_id ORDER BY x)),
+c AS (SELECT *, (y1 - y) / h AS m FROM s),
+n AS (SELECT *, lag(h) OVER w AS ha, lag(m) OVER w AS ma, lead(h) OVER w AS hb, lead(m) OVER w AS mb FROM c WINDOW w AS (PARTITION BY event_id ORDER BY x)),
+v AS (SELECT *, CASE WHEN ma * m <= 0 THEN 0.0 ELSE (3 * (ha + h)) / ((2 * h + ha) / ma + (h + 2 * ha) / m) END AS inner0, CASE WHEN m * mb <= 0 THEN 0.0 ELSE (3 * (h + hb)) / ((2 * hb + h) / m + (hb + 2 * h) / mb) END AS inner1,
+  ((2 * h + hb) * m - h * mb) / (h + hb) AS e0, ((2 * h + ha) * m - h * ma) / (h + ha) AS e1 FROM n),
+g AS (SELECT *, CASE WHEN ha IS NOT NULL THEN inner0 WHEN hb IS NULL THEN m WHEN sign(e0) <> sign(m) THEN 0 WHEN sign(m) <> sign(mb) AND abs(e0) > 3 * abs(m) THEN 3 * m ELSE e0 END AS d0,
+  CASE WHEN hb IS NOT NULL THEN inner1 WHEN ha IS NULL THEN m WHEN sign(e1) <> sign(m) THEN 0 WHEN sign(m) <> sign(ma) AND abs(e1) > 3 * abs(m) THEN 3 * m ELSE e1 END AS d1 FROM v),
+k AS (SELECT *, unnest(range(0, greatest(coalesce(h, 1), 1)::BIGINT)) AS k FROM g),
+q AS (SELECT *, k / h AS t FROM k)
+SELECT event_id, x + k::INT AS day, CASE WHEN k = 0 THEN 'reading' WHEN h - 1 > 14 THEN 'gap' ELSE 'filled' END AS status,
+  round(CASE WHEN k = 0 THEN y WHEN h - 1 <= 14 THEN least(greatest((1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * d0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * d1, least(y, y1)), greatest(y, y1)) END, 6) AS seats FROM q""",
     "p5_found": _SPEND
     + """, q AS (SELECT *, lag(t30) OVER (PARTITION BY customer_id ORDER BY day) AS b FROM t)
 SELECT customer_id, 'peak_7' AS kind, strftime(min(day), '%Y-%m-%d') AS day FROM (SELECT *, max(t7) OVER (PARTITION BY customer_id) AS m FROM t) WHERE t7 = m AND m > 0 GROUP BY customer_id

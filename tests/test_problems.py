@@ -256,3 +256,20 @@ def test_long_chain_and_empty(spark):
     assert got == {i: i for i in range(1, 400)}
     assert hierarchy.resolve(df.limit(0), "id", "up").count() == 0
     assert hierarchy.descendants(df.where("id < 4"), "id", "up").count() == 3
+
+
+def test_satellites_split_by_rate(spark):
+    rng = random.Random(8)
+    said = [(k, date(2026, 1, 1) + timedelta(days=7 * i), rng.choice("ab") * (i > 2), rng.randrange(10**6), "same") for k in (1, 2, 3) for i in range(9)]
+    first, late = said[::2], said[1::2]
+    frame = lambda rs: spark.createDataFrame(rs, "k int, t date, slow string, fast int, still string")
+    stored = satellites.load([frame(first), frame(late)], "k", "t", ["slow", "fast", "still"], (0.02, 0.95))
+    assert {tuple(g) for g, _ in stored.values()} == {("slow",), ("fast",), ("still",)}
+    got = [tuple(r) for r in satellites.joined_history(stored, "k", "t").select("k", "slow", "fast", "still", "t", "valid_to").orderBy("k", "t").collect()]
+    want = []
+    for i, (k, t, slow, fast, still) in enumerate(sorted(said, key=lambda r: r[:2])):
+        if want and want[-1][0] == k:
+            want[-1] = (*want[-1][:-1], t)
+        want.append((k, slow, fast, still, t, None))
+    assert got == want
+    assert satellites.joined_history(satellites.load([frame(first).limit(0)], "k", "t", ["slow", "fast"]), "k", "t").count() == 0
