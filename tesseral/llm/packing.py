@@ -12,6 +12,8 @@ from tesseral.session import cut_lineage
 
 #: Documents of a shard, about. Shards are packed apart; each leaves a few containers that aren't full.
 SHARD_DOCS = 50_000
+#: Capacities at most; every document has a row for each, so their table is small by its purpose.
+MAX_PACKS = 1_000
 
 PLACED = T.StructType([
     T.StructField("pack_id", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("container", T.LongType()), T.StructField("doc_id", T.LongType()),
@@ -70,7 +72,9 @@ def pack(sizes: DataFrame, capacities: DataFrame, shard_docs: int = SHARD_DOCS)
     n = max(1, -(-sizes.count() // shard_docs))
     packs = F.broadcast(capacities.where("pack_id is not null and capacity_tokens > 0").select(F.col("pack_id").cast("long").alias("pack_id"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct())
     items = sizes.where("doc_id is not null and n_tokens is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"))
-    # a handful of capacities: the rows grow by their number
+    if packs.limit(MAX_PACKS + 1).count() > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} capacities")
+    # the rows grow by the number of capacities, which is checked
     parts = items.join(packs).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     last = F.floor((F.col("size") - 1) / F.col("capacity"))
     split = parts.where("size > 0").select(
