@@ -1,6 +1,6 @@
 """Personal information in free text: detection by form, context and a name table from the customers (problem 9).
 
-The rules are written for Latin-script support texts in English, German, French and Spanish.
+The rules are written for support texts in English, German, French and Spanish, with Japanese names by honorifics and forms.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesseral.session import cut_lineage
+
+#: Documents that one task of the detection reads, about.
+DOCS_A_TASK = 4_000
 MENTION = "doc_id long, kind string, start_pos int, end_pos int, surface string, canon string, gender string"
 
 # Typographic variants, each replaced by one character, so that positions stay.
@@ -89,10 +93,14 @@ def _rules() -> dict:
         regex.compile(r"(?<![\p{L}\p{N}_])(?:C/|Calle|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Carrera|Travesía) ?(?:(?:del|de la|de los|de las|de) )?\p{L}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?,? (?:n\.?º ?)?\d+(?:, (?:\d+ ?[ºª°.] ?\p{L}?(?:\b|$)|bajo|ático|entresuelo|principal|izq\.?|dcha\.?))*", regex.I),
     ]
     # cheap tests, on the text in lower case, whether a rule can match at all
-    r["email_hint"] = [re.compile(p) for p in ("@", r"[\[({<]\s?(?:at|@|arroba)\s?[\])}>]", " dot ")]
-    r["digits"] = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|\d{4}[- ]\d{4}")
+    # and if so where: a rule is tried only so far around its anchors
+    r["email_hint"] = [(re.compile(p), a, b) for p, a, b in (("@", 80, 340), (r"[\[({<]\s?(?:at|@|arroba)\s?[\])}>]", 600, 600), (" dot ", 600, 600))]
+    r["digits"] = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|\d{4}[- ]?\d{4}")
+    r["id_hint"] = (re.compile(r"\d(?: ?\d){5}|\d\d(?: ?\d\d){2}|\d\d\.\d{3}|\d{3}[- ]\d\d[- ]\d{4}"), 24, 60)
+    r["variants"] = re.compile("[" + "".join(map(chr, sorted(k for k in _VARIANTS if not 0xFF01 <= k < 0xFF5F))) + "\uff01-\uff5e]")
+    r["letters"] = re.compile(r"[^\W\d_]+")
     r["address_hint"] = [
-        re.compile(p)
+        (re.compile(p), 140, 160)
         for p in (
             rf"\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace("\\B", "\\b"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage",
             r"\b(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) |(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d",
@@ -145,6 +153,11 @@ def _rules() -> dict:
     lead = r"(?:^|\n|[.!?;:。…»\"] {0,2}|[^\p{L}\p{N}'\",-] |  )"
     r["before"] = (regex.compile(rf"{lead}(?P<n>{cap})$"), regex.compile(rf"{lead}(?P<n>{low})$"))
     r["cap_run"] = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.])(?:{cap})(?![\p{{L}}\p{{M}}\p{{N}}_@])")
+    # Japanese: before an honorific, or where a form or a caller gives the name
+    ja = r"(?:[\p{Han}々]{2,5}|[\p{Katakana}ー]{2,8}[・ ]?[\p{Katakana}ー]{0,8})"
+    r["japanese"] = [regex.compile(rf"(?<![\p{{Han}}\p{{Katakana}}ー])(?P<n>{ja})(?= ?(?:様|さん|さま|氏(?![名\p{{Han}}])))"), regex.compile(rf"(?:お?名前は|氏名(?:は|[:：]) ?|名前[:：] ?)(?P<n>{ja})(?=です|でござい|と申し|[、。\s]|$)"), regex.compile(rf"(?<![\p{{Han}}\p{{Katakana}}ー])(?P<n>{ja})(?=と申します|と言います)")]
+    r["kana"] = re.compile("[\u3041-\u30fa]")
+    r["no_japanese"] = frozenset("皆 お客 客 担当者 担当 奥 旦那 子供 息子 娘 店員 駅員 係員 運転手 医者 先生 神 王".split())
     r["word"] = regex.compile(r"\p{L}[\p{L}\p{M}]*")
     r["particle"] = regex.compile(rf"(?:{'|'.join(sorted(set(PARTICLES.replace('|', ' ').split())))})", regex.I)
     r["low_pair"] = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.])(\p{{L}}[\p{{L}}\p{{M}}]+) {bound}?(\p{{L}}[\p{{L}}\p{{M}}]+)(?![\p{{L}}\p{{N}}_@])")
@@ -159,6 +172,21 @@ class _Span:
     gender: str = ""
 
 
+def _around(rx, anchor: tuple, text: str, low: str):
+    """The matches of ``rx`` near the anchor's own, from left to right; the windows around anchors are joined where they meet."""
+    hint, before, after = anchor
+    lo = hi = -1
+    for m in hint.finditer(low):
+        a, b = max(0, m.start() - before), m.end() + after
+        if a > hi:
+            if hi >= 0:
+                yield from rx.finditer(text, lo, hi)
+            lo = a
+        hi = b
+    if hi >= 0:
+        yield from rx.finditer(text, lo, hi)
+
+
 class _Claims:
     """Spans found so far; a later rule never takes characters of an earlier one."""
 
@@ -254,8 +282,17 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
         words = [w.lower() for w in rules["word"].findall(s)]
         return bool(words) and words[0] not in NO_NAMES and any(w in known for w in words)
 
-    words = [(m.group(), m.start()) for m in rules["word"].finditer(text)]
-    starts = [(at, k) for w, at in words for k in rules["triggers"].get(w.lower(), ())]
+    words = set(rules["letters"].findall(text))
+    starts = []
+    for w in words:
+        kinds = rules["triggers"].get(w.lower())
+        if kinds:
+            at = text.find(w)
+            while at >= 0:
+                end = at + len(w)
+                if not (at and text[at - 1].isalpha()) and not text[end : end + 1].isalpha():
+                    starts += [(at, k) for k in kinds]
+                at = text.find(w, end)
     at = text.find("--")
     while at >= 0:
         starts.append((at, 2))
@@ -280,8 +317,14 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
         if n:
             take(at - len(part) + n.start("n"), at)
 
+    if not text.isascii() and rules["kana"].search(text):
+        for rx in rules["japanese"]:
+            for m in rx.finditer(text):
+                if m.group("n") not in rules["no_japanese"]:
+                    take(*m.span("n"))
+
     # words of the names found so far hold in the rest of this text
-    lows = {w for w, _ in words if w.islower()}
+    lows = {w for w in words if w.islower()}
     here = dict(known)
     for a, b in list(found):
         ws = [w for w in rules["word"].findall(text[a:b]) if len(w) > 2 and w.lower() not in NO_NAMES and not rules["particle"].fullmatch(w)]
@@ -289,7 +332,10 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
             if w[0].isupper() and w.lower() not in lows and w.lower() not in here:
                 here[w.lower()] = (i == 0, i > 0, True)
 
-    for m in rules["cap_run"].finditer(text):
+    caps = {w.lower() for w in words if not w.islower()}
+    for m in rules["cap_run"].finditer(text) if not caps.isdisjoint(here) else ():
+        if not any(w in here for w in rules["letters"].findall(m.group().lower())):
+            continue
         a, b = m.span()
         b = a + (bytes(claims.taken[a:b]) + b"\1").index(1)
         parts = [(a + w.start(), a + w.end()) for w in rules["word"].finditer(text[a:b])]
@@ -309,11 +355,20 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
         while i > 0 and parts[i - 1][1] - parts[i - 1][0] == 1 and text[parts[i - 1][1] : parts[i][0]] in (". ", "."):
             i -= 1
         take(parts[i][0], parts[j][1])
-    low_known = [known[w] for w in lows if w in known]
-    for m in rules["low_pair"].finditer(text, overlapped=True) if any(f[0] for f in low_known) and any(f[1] for f in low_known) else ():
-        x, y = (known.get(m.group(k).lower()) for k in (1, 2))
-        if x and y and x[0] and y[1] and (x[2] or y[2]) and m.group(1).islower():
-            take(*m.span())
+    firsts = [w for w in lows if w in known and known[w][0]]
+    if firsts and any(known[w][1] for w in lows if w in known):
+        places = []
+        for w in firsts:
+            at = text.find(w)
+            while at >= 0:
+                places.append(at)
+                at = text.find(w, at + 1)
+        for at in sorted(places):
+            m = rules["low_pair"].match(text, at)
+            if m:
+                x, y = (known.get(m.group(k).lower()) for k in (1, 2))
+                if x and y and x[0] and y[1] and (x[2] or y[2]) and m.group(1).islower():
+                    take(*m.span())
 
 
 def _canon(kind: str, s: str) -> str:
@@ -354,24 +409,24 @@ def detect(text: str | None, known: dict[str, tuple[bool, bool, bool]]) -> list[
     if not text:
         return []
     rules = _rules()
-    plain = text.translate(_VARIANTS)
+    plain = text if text.isascii() or not rules["variants"].search(text) else text.translate(_VARIANTS)
     claims = _Claims(len(plain))
     low = plain.lower()
-    for hint, rx in zip(rules["email_hint"], rules["email"]):
-        if hint.search(low):
-            for m in rx.finditer(plain):
-                claims.take("email", *m.span())
+    if len(low) != len(plain):
+        # a few capitals have longer lower forms; anchors must keep their places
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in plain)
+    for anchor, rx in zip(rules["email_hint"], rules["email"]):
+        for m in _around(rx, anchor, plain, low):
+            claims.take("email", *m.span())
     for m in rules["url"].finditer(plain):
         claims.take("", *m.span())
-    for m in rules["id"].finditer(plain):
+    for m in _around(rules["id"], rules["id_hint"], plain, low):
         claims.take("id_number", *m.span())
-    if rules["digits"].search(plain):
-        for m in rules["id_cued"].finditer(plain):
-            claims.take("id_number", *m.span("id"))
-    for hint, rx in zip(rules["address_hint"], rules["address"]):
-        if hint.search(low):
-            for m in rx.finditer(plain):
-                claims.take("street_address", *m.span())
+    for m in _around(rules["id_cued"], (rules["digits"], 120, 40), plain, low):
+        claims.take("id_number", *m.span("id"))
+    for anchor, rx in zip(rules["address_hint"], rules["address"]):
+        for m in _around(rx, anchor, plain, low):
+            claims.take("street_address", *m.span())
     _phones(plain, rules, claims)
     _names(plain, rules, claims, known)
     spans = sorted(claims.spans, key=lambda s: s.start)
@@ -400,7 +455,8 @@ def known_words(docs: DataFrame, people: DataFrame) -> DataFrame:
     """
     raw = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_FREE_WORDS), F.lit(0)))
     words = docs.select("doc_id", F.explode(raw).alias("w")).select("doc_id", F.lower("w").alias("token"), (F.lower("w") == F.col("w")).cast("int").alias("low"))
-    hits = words.join(name_words(people), "token")
+    # used twice: the few words that are names are written once, texts are read and cut once
+    hits = cut_lineage(words.join(name_words(people), "token"))
     use = hits.groupBy("token").agg((F.sum("low") < F.count(F.lit(1)) - F.sum("low")).alias("safe"))
     by_doc = hits.groupBy("doc_id", "token").agg(F.max("given").alias("given"), F.max("family").alias("family"))
     return by_doc.join(use, "token").groupBy("doc_id").agg(F.collect_set(F.struct("token", "given", "family", "safe")).alias("known"))
@@ -414,6 +470,7 @@ def mentions(docs: DataFrame, people: DataFrame, public: DataFrame | None = None
     mentions; repeated rows of a document count once. canon is one for all forms of a datum, so a first name in a text
     that has the full name once is that person.
     """
+    n_docs = docs.count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,7 +482,9 @@ def mentions(docs: DataFrame, people: DataFrame, public: DataFrame | None = None
                 rows += [(doc_id, kind, a, b, s, c, g) for kind, a, b, s, c, g in detect(text, table)]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "int64", "start_pos": "int32", "end_pos": "int32"})
 
-    found = docs.join(known_words(docs, people), "doc_id", "left").select("doc_id", "text", "known").mapInPandas(run, MENTION).distinct()
+    # rules cost time by the character, not by the shuffled byte, so the number of pieces is set here
+    pieces = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-n_docs // DOCS_A_TASK))
+    found = docs.repartition(pieces, "doc_id").join(known_words(docs, people), "doc_id", "left").select("doc_id", "text", "known").mapInPandas(run, MENTION).distinct()
     if public is None:
         return found
     no_person = public.where("name is not null").select(F.lower(F.trim("name")).alias("_name")).distinct().withColumn("_kind", F.lit("person_name"))

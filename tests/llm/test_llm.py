@@ -223,7 +223,7 @@ ADDRESS_WORDS = [
 
 @pytest.mark.parametrize("rule,begins,form", ADDRESS_WORDS)
 def test_every_address_word_passes_its_hint(rule, begins, form):
-    rx, hint = pii._rules()["address"][rule], pii._rules()["address_hint"][rule]
+    rx, hint = pii._rules()["address"][rule], pii._rules()["address_hint"][rule][0]
     pattern = rx.pattern.replace("stra(?:ß|ss)e", "straße|strasse")
     group = pattern[pattern.index(begins) :].split(")")[0]
     for w in group.split("|"):
@@ -248,6 +248,28 @@ def test_surrogates_keep_form():
     assert surrogates.surrogate("person_name", canon, "f", key="other") != made
 
 
+def test_surrogates_match_script_country_and_control_letter():
+    import unicodedata
+
+    made = surrogates.surrogate("person_name", "ελένη παππά", "f", key="k")
+    assert all(unicodedata.name(c).startswith("GREEK") for c in made.replace(" ", "")) and len(made) == len("ελένη παππά")
+    assert surrogates.surrogate("phone", "442079460958", "", key="k").startswith("44") and surrogates.surrogate("phone", "0301234567", "", key="k").startswith("0")
+    dni = surrogates.surrogate("id_number", "12345678z", "", key="k")
+    assert dni[-1] == surrogates._DNI[int(dni[:-1]) % 23] and dni != "12345678z"
+    hosts = {surrogates.surrogate("email", x, "", key="k").split("@")[1] for x in ("a@example.org", "b@example.org")}
+    assert len(hosts) == 1 and hosts != {surrogates.surrogate("email", "a@example.com", "", key="k").split("@")[1]}
+
+
+def test_gender_comes_from_others_with_the_given_name(spark):
+    found = spark.createDataFrame([("person_name", "petra lind", "f"), ("person_name", "petra voss", ""), ("person_name", "olaf voss", "")], "kind string, canon string, gender string")
+    made = {r["canon"]: r["made"] for r in surrogates.assign(found, "k").collect()}
+    assert made["petra voss"] == surrogates.surrogate("person_name", "petra voss", "f", key="k") and made["olaf voss"] == surrogates.surrogate("person_name", "olaf voss", "", key="k")
+
+
+def test_japanese_names():
+    assert [x[3] for x in pii.detect("お名前は山田太郎です。佐藤様、皆様へ", {})] == ["山田太郎", "佐藤"]
+
+
 def test_redaction_changes_nothing_else(spark):
     docs = spark.createDataFrame([(1, "Dear Ms Lindqvast,\ncall 713-555-0138.\nThanks, Idris Orlovar"), (2, "Idris Orlovar (0044 7700-900-618) has it. Our usher Idris found a phone."), (3, None), (4, ""), (5, "nothing here")], "doc_id int, text string").withColumn("kind", F.lit(0))
     people = spark.createDataFrame([("Petra Lindqvast",), ("IDRIS ORLOVAR",), (None,), ("Solo",)], "full_name string")
@@ -265,7 +287,7 @@ def test_redaction_changes_nothing_else(spark):
 
 def test_colliding_surrogates_are_made_again(spark):
     found = spark.createDataFrame([("phone", str(i), "") for i in range(40)], "kind string, canon string, gender string")
-    made = rows(surrogates.assign(found), "canon", "made")
+    made = rows(surrogates.assign(found, "k"), "canon", "made")
     # one digit leaves ten surrogates, and each is itself a datum
     assert len({m for _, m in made}) == len(made) == 40 and not {m for _, m in made} & {str(i) for i in range(40)}
 
