@@ -95,17 +95,22 @@ def _rules() -> dict:
     # cheap tests, on the text in lower case, whether a rule can match at all
     # and if so where: a rule is tried only so far around its anchors
     r["email_hint"] = [(re.compile(p), a, b) for p, a, b in (("@", 80, 340), (r"[\[({<]\s?(?:at|@|arroba)\s?[\])}>]", 600, 600), (" dot ", 600, 600))]
-    r["digits"] = re.compile(r"\d{3}[- ]?\d{2}[- ]?\d{4}|\d{4}[- ]?\d{4}")
-    r["id_hint"] = (re.compile(r"\d(?: ?\d){5}|\d\d(?: ?\d\d){2}|\d\d\.\d{3}|\d{3}[- ]\d\d[- ]\d{4}"), 24, 60)
+    r["digits"] = re.compile(r"\d\d\d(?:[- ]?\d\d[- ]?\d{4}|\d[- ]?\d{4})")
+    r["id_hint"] = (re.compile(r"\d(?:(?: ?\d){5}|\d\.\d{3}|\d\d[- ]\d\d[- ]\d{4})"), 24, 60)
     r["variants"] = re.compile("[" + "".join(map(chr, sorted(k for k in _VARIANTS if not 0xFF01 <= k < 0xFF5F))) + "\uff01-\uff5e]")
     r["letters"] = re.compile(r"[^\W\d_]+")
     r["address_hint"] = [
-        (re.compile(p), 140, 160)
-        for p in (
+        (re.compile(p), before, after)
+        for (before, after), p in zip(((90, 60), (80, 120), (80, 120), (100, 140), (60, 160), (20, 180)), (
             rf"\b(?:{STREET}|{STREET_CAPITAL})\b".lower().replace("\\B", "\\b"), r"cottage|house|lodge|farm|manor|barn|villa|hall", "cottage",
             r"\b(?:am|an de[rn]|auf de[mr]|im|in der|zum|zur|unter den|hinter der) |(?:gasse|stra(?:ß|ss)e|str\.|allee|weg|platz|ufer|damm|steig|pfad) \d",
             r"\b(?:rue|avenue|av\.|boulevard|bd\.?|impasse|place|allée|chemin|quai|route|cours|passage|square) ", r"c/|calle|avda|avenida|av\.|plaza|pza|paseo|p\.º|camino|ronda|carrera|travesía",
-        )
+        ))
+    ]
+    # words without one of which a rule's anchors can't be there
+    r["address_words"] = [
+        frozenset(f"{STREET}|{STREET_CAPITAL}".lower().split("|")), frozenset("cottage house lodge farm manor barn villa hall".split()), frozenset(["cottage"]), None,
+        frozenset("rue avenue av boulevard bd impasse place allée chemin quai route cours passage square".split()), None,
     ]
     # a name: given or family name or both, with initials and particles, in either order
     for case, first in (("cap", r"\p{Lu}"), ("low", r"\p{L}")):
@@ -269,7 +274,7 @@ def _stripped(text: str, a: int, b: int, rules: dict) -> tuple[int, int]:
     return words[i][0], b if whole else words[j - 1][1]
 
 
-def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool, bool, bool]]) -> None:
+def _names(text: str, words: set[str], rules: dict, claims: _Claims, known: dict[str, tuple[bool, bool, bool]]) -> None:
     """known: lower-case word -> (given, family, safe); safe: hardly ever an ordinary word."""
     found: list[tuple[int, int]] = []
 
@@ -282,7 +287,6 @@ def _names(text: str, rules: dict, claims: _Claims, known: dict[str, tuple[bool,
         words = [w.lower() for w in rules["word"].findall(s)]
         return bool(words) and words[0] not in NO_NAMES and any(w in known for w in words)
 
-    words = set(rules["letters"].findall(text))
     starts = []
     for w in words:
         kinds = rules["triggers"].get(w.lower())
@@ -424,11 +428,14 @@ def detect(text: str | None, known: dict[str, tuple[bool, bool, bool]]) -> list[
         claims.take("id_number", *m.span())
     for m in _around(rules["id_cued"], (rules["digits"], 120, 40), plain, low):
         claims.take("id_number", *m.span("id"))
-    for anchor, rx in zip(rules["address_hint"], rules["address"]):
-        for m in _around(rx, anchor, plain, low):
-            claims.take("street_address", *m.span())
+    words = set(rules["letters"].findall(plain))
+    lows = {w.lower() for w in words}
+    for anchor, rx, need in zip(rules["address_hint"], rules["address"], rules["address_words"]):
+        if need is None or not need.isdisjoint(lows):
+            for m in _around(rx, anchor, plain, low):
+                claims.take("street_address", *m.span())
     _phones(plain, rules, claims)
-    _names(plain, rules, claims, known)
+    _names(plain, words, rules, claims, known)
     spans = sorted(claims.spans, key=lambda s: s.start)
     canons = [_canon(s.kind, plain[s.start : s.end]) for s in spans]
     same = _coreferent([c for s, c in zip(spans, canons) if s.kind == "person_name"])
