@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesseral.session import cut_lineage
+
 SAMPLES = 3
 
 
@@ -36,6 +38,16 @@ def normalised(df: DataFrame, places: int = 4) -> DataFrame:
     return df.select(*[_normal(f, F.col(f"`{f.name}`"), places).alias(f"c{i}") for i, f in enumerate(df.schema)])
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows with _n, their place when read: by partition and place in it, so that no task sees them all."""
+    once = cut_lineage(df.withColumn("_p", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_p", 33), F.col("_p").bitwiseAND(2**33 - 1)
+    # one row for each partition
+    sizes = once.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return once.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_start") + place).drop("_p", "_part", "_start")
+
+
 def compare(actual: DataFrame, expected: DataFrame, ordered: bool = False, places: int = 4) -> Difference:
     """Whether two results hold the same rows as often, and in the same order if ``ordered``; with a few samples of each side.
 
@@ -59,8 +71,7 @@ def compare(actual: DataFrame, expected: DataFrame, ordered: bool = False, place
     finally:
         diff.unpersist()
     if ordered:
-        n = lambda df: df.withColumn("_p", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(W.orderBy("_p"))).drop("_p")
-        x, y = n(a).alias("x"), n(b).alias("y")
+        x, y = _numbered(a).alias("x"), _numbered(b).alias("y")
         same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
         cond = same[0]
         for s in same[1:]:
@@ -72,8 +83,6 @@ def compare(actual: DataFrame, expected: DataFrame, ordered: bool = False, place
 
 def idempotent(run: Callable[[], None], state: Callable[[], DataFrame]) -> Difference:
     """Whether running a change a second time leaves the state as the first run did."""
-    from tesseral.session import cut_lineage
-
     run()
     once = cut_lineage(state())
     run()

@@ -35,11 +35,24 @@ def islands(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     return days.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("_d").alias("start_day"), F.max("_d").alias("end_day"), F.count(F.lit(1)).alias("n_days")).drop("_run")
 
 
-def sessions(df: DataFrame, key: str, ts: str, tie: list[str], gap_seconds: int) -> DataFrame:
-    """Every row with session_no, counted from 1 per key; a session ends after more than ``gap_seconds`` without a row."""
-    w = W.partitionBy(key).orderBy(ts, *tie)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    return df.withColumn("_new", (gap.isNull() | (gap > gap_seconds * 1_000_000)).cast("int")).withColumn("session_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def sessions(df: DataFrame, key: str, ts: str, tie: list[str], gap_seconds: int, shard_seconds: int = 7 * 86400) -> DataFrame:
+    """Every row with session_no, counted from 1 per key; a session ends after more than ``gap_seconds`` without a row.
+
+    Time is cut into shards, so a key with a third of all rows is spread over them; from the shards before come only
+    their last time and their number of sessions, one row a shard. A row without time is a session of its own, the first ones.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("_at", micros).withColumn("_shard", F.coalesce(F.floor(F.col("_at") / (shard_seconds * 1_000_000)), F.lit(-(2**62))))
+    w, shards = W.partitionBy(key, "_shard").orderBy(ts, *tie), W.partitionBy("_k").orderBy("_s")
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_shard") == F.col("_s"))
+    by_shard = lambda d, agg: d.groupBy(F.col(key).alias("_k"), F.col("_shard").alias("_s")).agg(agg.alias("_v"))
+    last = by_shard(rows, F.max("_at")).select("_k", "_s", F.lag("_v").over(shards).alias("_before"))
+    gap = F.col("_at") - F.coalesce(F.lag("_at").over(w), F.col("_before"))
+    # the lag of a shard's first row is null, of a row after one without time too; then the shard before has no time either
+    flagged = rows.join(last, same).drop("_k", "_s").withColumn("_new", (gap.isNull() | (gap > gap_seconds * 1_000_000)).cast("int")).drop("_before")
+    count = by_shard(flagged, F.sum("_new")).select("_k", "_s", F.coalesce(F.sum("_v").over(shards.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_so_far"))
+    running = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
+    return flagged.join(count, same).withColumn("session_no", F.col("_so_far") + running).select(*df.columns, "session_no")
 
 
 def cohorts(first: DataFrame, acts: DataFrame, key: str, joined: str, acted: str, within_days: int) -> DataFrame:

@@ -18,7 +18,7 @@ def test_entry_runs(spark):
     assert df.columns == ["nation", "month", "revenue", "rn"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "p5_found", "top_n_per_group", "lag_ignore_nulls", "json_get_path", "scd2"])
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p4_found", "p5_found", "top_n_per_group", "lag_ignore_nulls", "json_get_path", "scd2", "conditions_tables", "distinct_over_running", "recursive_outer_step", "recursive_aggregate_step", "merge_schema_evolution", "exists_two_levels"])
 def test_some_queries_equal_the_oracle(spark, name):
     con = duckdb.connect()
     for t in con.execute(f"SELECT file FROM glob('{SF}/*.parquet')").fetchall():
