@@ -74,3 +74,15 @@ def orphan_report(children: list[Child], parents: list[tuple[DataFrame, str]]) -
         F.sum(F.when(F.col("_orphan"), F.col("n")).otherwise(0)).alias("n_orphans"),
         F.count(F.when(F.col("_orphan"), F.lit(1))).alias("n_orphan_keys"),
     )
+
+
+def late_report(children: list[Child], parents: list[tuple[DataFrame, str]], late: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Per table and period: references whose parent only came with ``late``, and how many parents those are: (child_table, period, n_late, n_late_keys).
+
+    Counted by (table, key, period) before the join, as in ``orphan_report``.
+    """
+    arrived = reduce(DataFrame.union, [df.select(F.col(key).alias("_key")) for df, key in late]).where("_key is not null").distinct()
+    keys = orphan_keys(children, parents).join(arrived, "_key", "left_semi")
+    counted = _references(children).groupBy("child_table", "_key", "period").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.join(keys, ["child_table", "_key"], "left_semi")
+    return found.groupBy("child_table", "period").agg(F.sum("n").alias("n_late"), F.count(F.lit(1)).alias("n_late_keys"))

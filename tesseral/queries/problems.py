@@ -34,6 +34,11 @@ def p2_report(spark, d):
     return references.orphan_report(_children(spark, d), _orders(spark, d))
 
 
+def p2_late(spark, d):
+    early, late = _orders(spark, d)
+    return references.late_report(_children(spark, d), [early], [late])
+
+
 def _statements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     def said(name: str, day: str) -> DataFrame:
         city = satellites.tidy("city")
@@ -113,7 +118,7 @@ def p6_descendants(spark, d):
     return hierarchy.descendants(table(spark, d, "customers"), "customer_id", "referred_by").withColumnRenamed("id", "customer_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_history, p3_change_rates, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_hierarchy, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_late, p3_found, p3_history, p3_change_rates, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_hierarchy, p6_descendants)}
 
 _CITY = r"trim(regexp_replace(lower(city), '\s+', ' ', 'g'))"
 _VERSIONS = rf"""
@@ -154,6 +159,8 @@ ORACLE = {
     + """SELECT child_table, period, count(*) AS n_references, count(*) FILTER (WHERE parent.order_id IS NULL) AS n_orphans,
   count(DISTINCT child.order_id) FILTER (WHERE parent.order_id IS NULL) AS n_orphan_keys
 FROM child LEFT JOIN parent ON child.order_id = parent.order_id WHERE child.order_id IS NOT NULL GROUP BY ALL""",
+    "p2_late": _ORPHANS + """SELECT child_table, period, count(*) AS n_late, count(DISTINCT order_id) AS n_late_keys FROM child WHERE order_id IN (SELECT order_id FROM late_orders)
+  AND order_id NOT IN (SELECT order_id FROM ticket_orders WHERE order_id IS NOT NULL) GROUP BY ALL""",
     "p3_found": _VERSIONS + "SELECT customer_id, city, strftime(valid_from, '%Y-%m-%d') AS valid_from FROM h",
     "p3_history": _VERSIONS + "SELECT *, lead(valid_from) OVER (PARTITION BY customer_id ORDER BY valid_from, city) AS valid_to FROM h",
     "p4_found": """WITH r AS (SELECT DISTINCT event_id, snapshot_date AS day FROM seat_inventory WHERE event_id IS NOT NULL AND snapshot_date IS NOT NULL AND seats_remaining >= 0),
