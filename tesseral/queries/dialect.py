@@ -167,9 +167,9 @@ def source_bucketed(spark, d):
 
 @B.df("source_jdbc", "SELECT n_nationkey, n_name FROM nation")
 def source_jdbc(spark, d):
-    """Through the database that comes with Spark, in memory."""
-    url = f"jdbc:derby:memory:w{uuid.uuid4().hex[:8]};create=true"
-    table(spark, d, "nation").select("n_nationkey", F.col("n_name").cast("string")).coalesce(1).write.option("createTableColumnTypes", "n_name VARCHAR(64)").jdbc(url, "nations")
+    """Through the database that comes with Spark."""
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").cast("string"))
+    url = readers.publish_derby(nations, "nations", createTableColumnTypes="n_name VARCHAR(64)")
     return readers.read_jdbc(spark, url, "nations", "n_nationkey", 0, 25, 3)
 
 
