@@ -169,7 +169,7 @@ def source_bucketed(spark, d):
 def source_jdbc(spark, d):
     """Through the database that comes with Spark."""
     nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").cast("string"))
-    url = readers.publish_derby(nations, "nations", createTableColumnTypes="n_name VARCHAR(64)")
+    url = readers.publish_derby(nations, "nations")
     return readers.read_jdbc(spark, url, "nations", "n_nationkey", 0, 25, 3)
 
 

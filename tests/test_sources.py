@@ -53,3 +53,14 @@ def test_jdbc_hollow(spark, tmp_path, n):
     from tesseral.queries.dialect import QUERIES
 
     assert [tuple(r) for r in QUERIES["source_jdbc"](spark, hollow_folder(tmp_path, n)).collect()] == [(None, None)] * n
+
+
+def test_jdbc_keeps_long_texts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tesseral.queries.dialect import QUERIES
+
+    want = [(0, "x" + " " * 70), (1, "é" * 65), (2, "y" * 100_000)]
+    pq.write_table(pa.table({"n_nationkey": pa.array([k for k, _ in want], pa.int32()), "n_name": [v for _, v in want]}), tmp_path / "nation.parquet")
+    assert sorted(map(tuple, QUERIES["source_jdbc"](spark, str(tmp_path)).collect())) == want
